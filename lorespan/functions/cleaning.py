@@ -42,6 +42,11 @@ def _sub(c: Column, pattern: str, replacement: str) -> Column:
     return F.regexp_replace(c, pattern, replacement)
 
 
+def _sub_where(c: Column, needle: str, pattern: str, replacement: str) -> Column:
+    """Run the pattern only over texts that hold ``needle``, without which it cannot match."""
+    return let(c, lambda x: F.when(x.contains(needle), _sub(x, pattern, replacement)).otherwise(x))
+
+
 def replace_text(c: Column, replacements: Mapping[str, str] | Iterable[tuple[str, str]]) -> Column:
     """Literal replacements, one after the other."""
     pairs = replacements.items() if isinstance(replacements, Mapping) else replacements
@@ -97,7 +102,7 @@ def remove_markdown(c: Column) -> Column:
 
 
 def remove_urls(c: Column, replacement: str = "") -> Column:
-    return _sub(c, URL, replacement)
+    return _sub_where(c, "://", URL, replacement)
 
 
 def normalize_urls(c: Column, replacement: str = "<URL>") -> Column:
@@ -105,11 +110,11 @@ def normalize_urls(c: Column, replacement: str = "<URL>") -> Column:
 
 
 def remove_emails(c: Column, replacement: str = "") -> Column:
-    return _sub(c, EMAIL, replacement)
+    return _sub_where(c, "@", EMAIL, replacement)
 
 
 def normalize_emails(c: Column, replacement: str = "<EMAIL>") -> Column:
-    return _sub(c, EMAIL, replacement)
+    return _sub_where(c, "@", EMAIL, replacement)
 
 
 def normalize_phone_numbers(c: Column, replacement: str = "<PHONE>") -> Column:
@@ -271,8 +276,9 @@ def remove_repeated_lines(c: Column, minimum: int = 3, case_sensitive: bool = Fa
     return F.when(changed, cleaned).otherwise(c)
 
 
-def remove_stopwords(c: Column, stop: Column) -> Column:
-    """Drop words found in the array column ``stop`` (lower case)."""
+def remove_stopwords(c: Column, stop: Iterable[str]) -> Column:
+    """Drop words of ``stop`` (lower case); the set is hashed once per task."""
     from lorespan.functions.text import words
 
-    return F.array_join(F.filter(words(c), lambda w: ~F.array_contains(stop, F.lower(w))), " ")
+    listed = list(stop)
+    return F.array_join(F.filter(words(c), lambda w: ~F.lower(w).isin(listed)), " ")
