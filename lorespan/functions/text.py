@@ -136,3 +136,25 @@ def contains_ci(c: Column, keyword: str) -> Column:
 def share(part: Column, whole: Column, empty: float = 0.0) -> Column:
     """``part / whole`` as double, ``empty`` where ``whole`` is 0."""
     return F.when(whole == 0, F.lit(empty)).otherwise(part.cast("double") / whole)
+
+
+def runs(ordered: Column) -> Column:
+    """Runs of equal neighbours in a sorted array: ``array<struct<value, copies>>``, in linear time."""
+
+    def cut(xs: Column) -> Column:
+        starts = F.filter(
+            F.transform(xs, lambda x, i: F.when((i == 0) | (x != F.try_element_at(xs, F.greatest(i, F.lit(1)))), i)),
+            lambda i: i.isNotNull(),
+        )
+        return let(
+            starts,
+            lambda ss: F.transform(
+                ss,
+                lambda s, j: F.struct(
+                    F.element_at(xs, s + 1).alias("value"),
+                    (F.coalesce(F.try_element_at(ss, j + 2), F.size(xs)) - s).cast("long").alias("copies"),
+                ),
+            ),
+        )
+
+    return let(ordered, cut)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lorespan.functions import text as t
 from lorespan.operators.skew import keep_first
@@ -13,30 +13,12 @@ from lorespan.operators.skew import keep_first
 def find_repeated_lines(df: DataFrame, key: str = "doc_id", text: str = "text", minimum: int = 2) -> DataFrame:
     """``(key, line, occurrences)`` of stripped, lower-case lines that occur at least ``minimum`` times in a document.
 
-    Counting is local to the document: in the sorted lines, a line starts a run where its left neighbour differs, and
-    the run ends before the next start.
+    Counting is local to the document: equal lines are neighbours once sorted.
     """
-
-    def runs(ks: Column) -> Column:
-        starts = F.filter(
-            F.transform(ks, lambda k, i: F.when((i == 0) | (k != F.try_element_at(ks, F.greatest(i, F.lit(1)))), i)),
-            lambda i: i.isNotNull(),
-        )
-        return t.let(
-            starts,
-            lambda ss: F.transform(
-                ss,
-                lambda s, j: F.struct(
-                    F.element_at(ks, s + 1).alias("line"),
-                    (F.coalesce(F.try_element_at(ss, j + 2), F.size(ks)) - s).cast("long").alias("occurrences"),
-                ),
-            ),
-        )
-
     keys = F.filter(F.transform(t.lines(F.col(text)), lambda x: F.lower(t.strip(x))), lambda k: k != "")
     return (
-        df.select(key, F.explode(t.let(F.sort_array(keys), runs)).alias("r"))
-        .select(key, "r.*")
+        df.select(key, F.explode(t.runs(F.sort_array(keys))).alias("r"))
+        .select(key, F.col("r.value").alias("line"), F.col("r.copies").alias("occurrences"))
         .where(F.col("occurrences") >= minimum)
     )
 

@@ -5,6 +5,7 @@ rows per query (or its hits above the radius), so all pairs are scored but never
 
 * Few queries (at most ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES``; both are counted first): the query matrix is
   broadcast and the corpus is scanned where it lies, without a shuffle. Each task keeps a running top k.
+  Such hits have a proven bound, and joins of the hits with the corpus broadcast them.
 * More queries: both sides are cut into blocks by a hash of their id. Every pair of blocks meets in one cogrouped
   task; a block has a bounded number of rows, whatever the data looks like.
 
@@ -19,8 +20,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DataType, DoubleType, StructField, StructType
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, StructField, StructType
 
 from lorespan.functions import text as t
 from lorespan.operators import dedup
@@ -28,6 +30,7 @@ from lorespan.operators.skew import first_rows
 
 BROADCAST_ROWS = 20_000
 BROADCAST_BYTES = 64 << 20
+BROADCAST_HITS = 1_000_000
 BLOCK_ROWS = 8_192
 METRICS = ("cosine", "ip", "l2", "l1")
 _PLACES = 9
@@ -73,38 +76,79 @@ def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int | None):
     return rows[keep], ids[keep], scores[keep]
 
 
-def _hits(q, qids, c, cids, metric, k, min_score, exclude_self):
-    """Candidate (query row, corpus id, score) triples of one block pair: the k best per query, or all above the score."""
+class _Side:
+    """Ids, vectors and (for hybrid scores) word hashes of one block."""
+
+    def __init__(self, table: pa.Table | pa.RecordBatch, id_col: str, vector: str):
+        self.ids = _ids(table.column(id_col))
+        self.vectors = _matrix(table.column(vector))
+        self.words = self.owner = None
+        if "_words" in table.schema.names:
+            column = table.column("_words")
+            column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+            lengths = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+            self.words = column.flatten().to_numpy(zero_copy_only=False)
+            self.owner = np.repeat(np.arange(len(lengths)), lengths)
+            self.n_words = np.maximum(lengths, 1)
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
+def _overlap(q: _Side, lo: int, hi: int, c: _Side) -> np.ndarray:
+    """Shared distinct words of queries ``lo..hi`` and all documents, over the number of query words."""
+    mine = (q.owner >= lo) & (q.owner < hi)
+    order = np.argsort(q.words[mine], kind="stable")
+    vocabulary, owners = q.words[mine][order], q.owner[mine][order] - lo
+    left = np.searchsorted(vocabulary, c.words, "left")
+    count = np.searchsorted(vocabulary, c.words, "right") - left
+    # Every document word meets the query words equal to it.
+    at = np.repeat(left - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+    cells = owners[at] * len(c) + np.repeat(c.owner, count)
+    shared = np.bincount(cells, minlength=(hi - lo) * len(c)).reshape(hi - lo, len(c))
+    return shared / q.n_words[lo:hi, None]
+
+
+def _hits(q: _Side, c: _Side, args: dict):
+    """Candidates (query row, corpus id, score) of one block pair: the k best per query, or all above the score."""
+    k, min_score, alpha = args["k"], args["min_score"], args["alpha"]
     step = max(1, (4 << 20) // max(1, len(c)))
     parts = []
     for lo in range(0, len(q), step):
-        s = _scores(q[lo : lo + step], c, metric)
-        if exclude_self:
-            s[qids[lo : lo + step][:, None] == cids[None, :]] = -np.inf
+        hi = min(lo + step, len(q))
+        s = _scores(q.vectors[lo:hi], c.vectors, args["metric"])
+        if alpha is not None:
+            s = np.round(alpha * s + (1 - alpha) * _overlap(q, lo, hi, c), _PLACES)
+        if args["exclude_self"]:
+            s[q.ids[lo:hi, None] == c.ids[None, :]] = -np.inf
         ok = s > -np.inf if min_score is None else s >= min_score
         if k is not None and s.shape[1] > k:
             edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
             ok &= s >= edge[:, None]
         r, j = np.nonzero(ok)
-        parts.append(_best(r + lo, cids[j], s[r, j], k))
+        parts.append(_best(r + lo, c.ids[j], s[r, j], k))
     if not parts:
-        return np.array([], int), cids[:0], np.array([], float)
+        return np.array([], int), c.ids[:0], np.array([], float)
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def _usable(df: DataFrame, id_col: str, vector: str) -> DataFrame:
-    return df.select(F.col(id_col), F.col(vector).cast("array<double>").alias(vector)).where(
-        F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull())
-    )
+def _side(df: DataFrame, id_col: str, vector: str, words: bool) -> DataFrame:
+    """The columns that are scored; rows without a full vector cannot be compared and are left out."""
+    cols = [F.col(id_col), F.col(vector).cast("array<double>").alias(vector)]
+    if words:
+        distinct = F.array_distinct(t.tokens(F.col("text")))
+        cols.append(F.transform(distinct, lambda w: F.xxhash64(w)).alias("_words"))
+    return df.select(*cols).where(F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull()))
 
 
-def search(
+def _search(
     queries: DataFrame,
     corpus: DataFrame,
-    k: int | None = 5,
+    k: int | None,
     *,
     metric: str = "cosine",
     min_score: float | None = None,
+    alpha: float | None = None,
     query_id: str = "query_id",
     query_vector: str = "embedding",
     corpus_id: str = "vec_id",
@@ -112,36 +156,45 @@ def search(
     exclude_self: bool = False,
     broadcast_rows: int = BROADCAST_ROWS,
     block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """``(query id, rank, corpus id, score)``: exact nearest neighbours or, with ``k=None``, all hits ≥ ``min_score``.
-
-    ``metric``: ``cosine``, ``ip`` (inner product), ``l2`` and ``l1`` (score ``1 / (1 + distance)``).
-    Filters on metadata belong on ``corpus`` before the call, where they reach the scan.
-    """
+) -> tuple[DataFrame, bool]:
+    """The hits, and whether they are few enough to be broadcast (a bound on queries times k)."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
     if k is None and min_score is None:
         raise ValueError("give k or min_score")
-    q = _usable(queries, query_id, query_vector)
-    c = _usable(corpus, corpus_id, corpus_vector)
-    id_type, vec_type = q.schema[query_id].dataType, c.schema[corpus_id].dataType
-    args = (metric, k, min_score, exclude_self)
+    q = _side(queries, query_id, query_vector, alpha is not None)
+    c = _side(corpus, corpus_id, corpus_vector, alpha is not None)
+    args = dict(metric=metric, k=k, min_score=min_score, alpha=alpha, exclude_self=exclude_self)
     out = StructType(
-        [StructField("_q", id_type), StructField("_c", vec_type), StructField("score", DoubleType())]
+        [
+            StructField("_q", q.schema[query_id].dataType),
+            StructField("_c", c.schema[corpus_id].dataType),
+            StructField("score", DoubleType()),
+        ]
     )
-    # The first rows decide: one row more than may be broadcast proves that the side is too large.
+    # One row more than may be broadcast proves that the side is too large.
     head = q.limit(broadcast_rows + 1).toArrow()
     small = head.num_rows <= broadcast_rows and head.nbytes <= BROADCAST_BYTES
     if small:
-        hits = _search_broadcast(head, c, out, args, query_id, query_vector, corpus_id, corpus_vector)
+        hits = _search_broadcast(_Side(head, query_id, query_vector), c, out, args, corpus_id, corpus_vector)
     else:
         hits = _search_blocks(q, c, out, args, query_id, query_vector, corpus_id, corpus_vector, block_rows)
-    ranked = hits.withColumn(
-        "rank", F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), "_c")).cast("long")
-    ) if k is not None else hits
-    ranked = ranked.where(F.col("rank") <= k) if k is not None else ranked
-    final = [F.col("_q").alias(query_id), F.col("_c").alias(corpus_id if corpus_id != query_id else "hit_id"), "score"]
-    return ranked.select(*final, *(["rank"] if k is not None else []))
+    if k is not None:
+        hits = first_rows(hits, ["_q"], [F.desc("score"), F.col("_c")], k, "rank")
+    named = [F.col("_q").alias(query_id), F.col("_c").alias(corpus_id), "score"]
+    hits = hits.select(*named, *([F.col("rank").cast("long").alias("rank")] if k is not None else []))
+    return hits, bool(small and k is not None and head.num_rows * k <= BROADCAST_HITS)
+
+
+def search(queries: DataFrame, corpus: DataFrame, k: int | None = 5, **opts) -> DataFrame:
+    """``(query id, corpus id, score, rank)``: exact nearest neighbours or, with ``k=None``, all hits ≥ ``min_score``.
+
+    ``metric``: ``cosine``, ``ip`` (inner product), ``l2`` and ``l1`` (score ``1 / (1 + distance)``).
+    Other options: ``min_score``, ``exclude_self`` (same id), the column names ``query_id``, ``query_vector``,
+    ``corpus_id``, ``corpus_vector``. Filters on metadata belong on ``corpus`` before the call, where they reach the
+    scan.
+    """
+    return _search(queries, corpus, k, **opts)[0]
 
 
 def _table(rows, ids, scores, qids, schema: pa.Schema) -> pa.RecordBatch:
@@ -161,32 +214,30 @@ def _ids(column) -> np.ndarray:
     return np.asarray(column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy())
 
 
-def _search_broadcast(head: pa.Table, c, out, args, query_id, query_vector, corpus_id, corpus_vector) -> DataFrame:
-    metric, k, min_score, exclude_self = args
-    shared = c.sparkSession.sparkContext.broadcast((_ids(head.column(query_id)), _matrix(head.column(query_vector))))
+def _search_broadcast(q: _Side, c: DataFrame, out: StructType, args: dict, corpus_id: str, vector: str) -> DataFrame:
+    shared = c.sparkSession.sparkContext.broadcast(q)
     schema = _arrow_schema(out)
+    k = args["k"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q = shared.value
+        mine = shared.value
         rows, ids, scores = np.array([], int), None, np.array([], float)
         for batch in batches:
-            if not batch.num_rows or not len(q):
+            if not batch.num_rows or not len(mine):
                 continue
-            cids = _ids(batch.column(corpus_id))
-            r, i, s = _hits(q, qids, _matrix(batch.column(corpus_vector)), cids, metric, k, min_score, exclude_self)
+            r, i, s = _hits(mine, _Side(batch, corpus_id, vector), args)
             if k is None:
-                yield _table(r, i, s, qids, schema)
+                yield _table(r, i, s, mine.ids, schema)
                 continue
             ids = i if ids is None else np.concatenate([ids, i])
             rows, ids, scores = _best(np.concatenate([rows, r]), ids, np.concatenate([scores, s]), k)
         if ids is not None and len(ids):
-            yield _table(rows, ids, scores, qids, schema)
+            yield _table(rows, ids, scores, mine.ids, schema)
 
     return c.mapInArrow(run, out)
 
 
 def _search_blocks(q, c, out, args, query_id, query_vector, corpus_id, corpus_vector, block_rows) -> DataFrame:
-    metric, k, min_score, exclude_self = args
     q_blocks = max(1, math.ceil(q.count() / block_rows))
     c_blocks = max(1, math.ceil(c.count() / block_rows))
     cut = lambda id_col, n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
@@ -198,10 +249,9 @@ def _search_blocks(q, c, out, args, query_id, query_vector, corpus_id, corpus_ve
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return schema.empty_table()
-        qids, cids = _ids(a.column(query_id)), _ids(b.column(corpus_id))
-        qm, cm = _matrix(a.column(query_vector)), _matrix(b.column(corpus_vector))
-        r, i, s = _hits(qm, qids, cm, cids, metric, k, min_score, exclude_self)
-        return pa.Table.from_batches([_table(r, i, s, qids, schema)])
+        mine = _Side(a, query_id, query_vector)
+        r, i, s = _hits(mine, _Side(b, corpus_id, corpus_vector), args)
+        return pa.Table.from_batches([_table(r, i, s, mine.ids, schema)])
 
     return left.groupBy("_qb", "_cb").cogroup(right.groupBy("_qb", "_cb")).applyInArrow(run, out)
 
@@ -259,72 +309,17 @@ def keyword_overlap(query_text: Column, document_text: Column) -> Column:
     )
 
 
-def _with_texts(hits: DataFrame, queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str) -> DataFrame:
-    q = queries.select(query_id, F.col("text").alias("query_text"))
-    return hits.join(corpus, corpus_id).join(q, query_id)
+def _with_columns_of(hits: DataFrame, bounded: bool, corpus: DataFrame, corpus_id: str) -> DataFrame:
+    """Join the hits back to the corpus. Bounded hits are broadcast, so the corpus is not shuffled for them."""
+    return corpus.join(F.broadcast(hits) if bounded else hits, corpus_id)
 
 
-def hybrid_search(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int = 5,
-    alpha: float = 0.5,
-    *,
-    query_id: str = "query_id",
-    corpus_id: str = "vec_id",
-    **opts,
-) -> DataFrame:
-    """``alpha`` · vector score + (1 − ``alpha``) · keyword overlap over every (query, document) pair; exact.
+def hybrid_search(queries: DataFrame, corpus: DataFrame, k: int = 5, alpha: float = 0.5, **opts) -> DataFrame:
+    """``alpha`` · vector score + (1 − ``alpha``) · keyword overlap, over every pair, exact.
 
-    Both tables carry ``text`` and ``embedding``. The keyword part is found through shared words: pairs without one
-    have overlap 0, so they can only enter through the vector ranking. Candidates are therefore the k best by vector
-    and all pairs that share a word. A word that many documents share is spread over salted cells.
+    Both tables carry ``text`` and the vector. Both parts are computed inside the blocks; ``alpha=1`` is plain search.
     """
-    if alpha >= 1:
-        return search(queries, corpus, k, query_id=query_id, corpus_id=corpus_id, **opts)
-    q = queries.select(query_id, F.array_distinct(t.tokens(F.col("text"))).alias("_qw"), "embedding")
-    shared = _shared_words(q, corpus, query_id, corpus_id)
-    by_vector = search(queries, corpus, k, query_id=query_id, corpus_id=corpus_id, **opts).select(
-        query_id, corpus_id, "score"
-    )
-    from lorespan.operators.vectors import cosine_similarity
-
-    scored = (
-        shared.join(q.select(query_id, F.col("embedding").alias("_qv"), F.size("_qw").alias("_nq")), query_id)
-        .join(corpus.select(corpus_id, F.col("embedding").alias("_cv")), corpus_id)
-        .select(
-            query_id,
-            corpus_id,
-            F.round(cosine_similarity(F.col("_qv"), F.col("_cv")), _PLACES).alias("score"),
-            (F.col("_common") / F.col("_nq")).alias("keyword"),
-        )
-    )
-    rest = by_vector.join(shared.select(query_id, corpus_id), [query_id, corpus_id], "left_anti").withColumn(
-        "keyword", F.lit(0.0)
-    )
-    mixed = scored.unionByName(rest).withColumn(
-        "score", F.round(alpha * F.col("score") + (1 - alpha) * F.col("keyword"), _PLACES)
-    )
-    return first_rows(mixed, [query_id], [F.desc("score"), corpus_id], k, "rank").select(
-        query_id, F.col("rank").cast("long").alias("rank"), corpus_id, "score"
-    )
-
-
-def _shared_words(q: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, salts: int = 32) -> DataFrame:
-    """Number of distinct shared words per (query, document) that share any.
-
-    Query words are few and are copied to every salt; each document's words go to the salt of the document. The
-    counting per pair starts on the map side.
-    """
-    words = q.select(query_id, F.explode("_qw").alias("_w")).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    docs = corpus.select(
-        corpus_id,
-        F.explode(F.array_distinct(t.tokens(F.col("text")))).alias("_w"),
-        F.pmod(F.xxhash64(corpus_id), F.lit(salts)).cast("int").alias("_salt"),
-    )
-    return docs.join(words, ["_w", "_salt"]).groupBy(query_id, corpus_id).agg(F.count(F.lit(1)).alias("_common"))
+    return search(queries, corpus, k, alpha=alpha, **opts)
 
 
 def mmr_search(
@@ -345,8 +340,8 @@ def mmr_search(
     """
     from lorespan.operators.vectors import cosine_similarity
 
-    hits = search(queries, corpus, fetch_k, query_id=query_id, corpus_id=corpus_id, **opts)
-    candidates = hits.join(corpus.select(corpus_id, F.col(vector).alias("_v")), corpus_id)
+    hits, bounded = _search(queries, corpus, fetch_k, query_id=query_id, corpus_id=corpus_id, **opts)
+    candidates = _with_columns_of(hits, bounded, corpus.select(corpus_id, F.col(vector).alias("_v")), corpus_id)
     rows = candidates.groupBy(query_id).agg(
         F.sort_array(F.collect_list(F.struct("rank", F.col(corpus_id).alias("id"), "score", "_v"))).alias("cs")
     )
@@ -368,7 +363,7 @@ def mmr_search(
         best = F.array_min(F.transform(free, value))
         return F.when(F.size(picked) < F.size(cs), F.array_append(picked, best["x"])).otherwise(picked)
 
-    empty = F.array().cast(F_array(kind))
+    empty = F.array().cast(ArrayType(kind))
     chosen = rows.withColumn(
         "picked",
         F.aggregate(F.sequence(F.lit(1), F.lit(k)), empty, lambda acc, _: pick(acc, F.col("cs"))),
@@ -382,12 +377,6 @@ def mmr_search(
     )
 
 
-def F_array(element: DataType):
-    from pyspark.sql.types import ArrayType
-
-    return ArrayType(element)
-
-
 def rerank(
     hits: DataFrame,
     k: int = 5,
@@ -432,9 +421,11 @@ def retrieve(
     **opts,
 ) -> DataFrame:
     """Fetch 4·k, drop weak hits, drop repeated ones, rerank, keep k. Both tables carry ``text`` and ``embedding``."""
-    hits = search(queries, corpus, 4 * k, query_id=query_id, corpus_id=corpus_id, **opts)
-    hits = filter_results(hits, minimum_score)
-    full = _with_texts(hits, queries, corpus.drop("embedding"), query_id, corpus_id)
+    hits, bounded = _search(queries, corpus, 4 * k, query_id=query_id, corpus_id=corpus_id, **opts)
+    hits = filter_results(hits, minimum_score).join(
+        queries.select(query_id, F.col("text").alias("query_text")), query_id
+    )
+    full = _with_columns_of(hits, bounded, corpus.drop("embedding"), corpus_id)
     return rerank(dedup.dedupe_hits(full, query_id), k, scorer, query_id=query_id, corpus_id=corpus_id)
 
 
@@ -455,5 +446,10 @@ def search_document(corpus: DataFrame, document: object, key: str = "doc_id") ->
     return corpus.where(F.col(key) == F.lit(document)).orderBy("chunk_index")
 
 
+def search_documents(corpus: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The chunks of all documents listed in ``documents``."""
+    return corpus.join(documents.select(key), key, "left_semi")
+
+
 def document_ids(corpus: DataFrame, key: str = "doc_id") -> DataFrame:
     return corpus.select(key).distinct()

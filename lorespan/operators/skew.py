@@ -39,6 +39,13 @@ def _key_of_cell(keys: Sequence[str]) -> list[Column]:
     return [F.col("_cell")[k] for k in keys]
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; without keys both sides are single rows."""
+    key = F.struct(*keys) if keys else F.struct(F.lit(0))
+    r = right.withColumn("_k", key).drop(*keys)
+    return left.withColumn("_k", key).join(r, "_k", how).drop("_k")
+
+
 def prefix_sums(
     df: DataFrame,
     keys: Sequence[str],

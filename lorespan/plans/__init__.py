@@ -6,7 +6,7 @@ from importlib import import_module
 
 from lorespan.plans.registry import ENTRIES, Entry
 
-MODULES = ("cleaning", "chunking")
+MODULES = ("cleaning", "chunking", "retrieval", "evaluation")
 
 
 def load() -> dict[str, Entry]:

@@ -59,3 +59,8 @@ def tokens(x: str) -> str:
 
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
+
+
+def rounded(x: str, places: int) -> str:
+    """Half up on the decimal rendering of a double, as Spark rounds."""
+    return f"round(({x})::double::varchar::decimal(38, 15), {places})::double"
