@@ -517,8 +517,8 @@ def stage_statistics(spark: SparkSession, root: str) -> DataFrame:
 
 # Benchmark: systems are event types, queries are events -------------------------------------------------------------
 
-_M = q.rounded("sum(overall_score::decimal(18, 6))::double / count(*)", 4)
-_ML = q.rounded("sum(latency_ms::decimal(18, 6))::double / count(*)", 2)
+_M = q.exact_mean("overall_score", 4)
+_ML = q.exact_mean("latency_ms", 2)
 _SC = f"""sc as (select event_type as system, user_id as retriever, event_id as query_id, value / 490.02 as retrieval_score,
     json_extract(props, '$.k')::int / 100 as relevance_score, value as latency_ms, ts::date::varchar as run_id
     from events), res as (select *, {q.rounded("(retrieval_score + relevance_score) / 2", 4)} as overall_score from sc)"""

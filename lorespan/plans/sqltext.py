@@ -63,4 +63,10 @@ def quoted(text: str) -> str:
 
 def rounded(x: str, places: int) -> str:
     """Half up on the decimal rendering of a double, as Spark rounds."""
-    return f"round(({x})::double::varchar::decimal(38, 15), {places})::double"
+    return f"round(({x})::double::varchar::decimal(38, 22), {places})::double"
+
+
+def exact_mean(x: str, places: int) -> str:
+    """Mean of a non-negative column in exact integers, rounded half up; for values with at most six places."""
+    total, unit = f"sum(round({x} * 1000000)::hugeint)", 10 ** (6 - places)
+    return f"(((2 * {total} + count(*) * {unit}) // (2 * count(*) * {unit}))::double / {10**places})"

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType, TimestampNTZType, TimestampType
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A table below ``root``; event times become UTC timestamps so that they can carry a watermark."""
-    df = spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
-    if name == "events":
-        df = df.withColumn("ts", F.col("ts").cast("timestamp"))
-    return df
+    """A table below ``root``.
+
+    Event times are read as UTC timestamps by schema instead of by cast: they can then carry a watermark, and filters
+    on them still reach the Parquet scan.
+    """
+    path = f"{root.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    if name != "events":
+        return df
+    fields = [
+        StructField(f.name, TimestampType() if isinstance(f.dataType, TimestampNTZType) else f.dataType, f.nullable)
+        for f in df.schema.fields
+    ]
+    return spark.read.schema(StructType(fields)).parquet(path)
