@@ -74,7 +74,10 @@ def prune_history(messages: DataFrame, keep_last: int = 100) -> DataFrame:
     return recent_messages(messages, keep_last)
 
 
-def get_messages(messages: DataFrame, conversation: object) -> DataFrame:
+def get_messages(messages: DataFrame, conversation: object = None) -> DataFrame:
+    """Messages in order, of one conversation or of all."""
+    if conversation is None:
+        return messages.orderBy(CONV, TURN)
     return messages.where(F.col(CONV) == F.lit(conversation)).orderBy(TURN)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -121,7 +122,7 @@ def describe(df: DataFrame) -> DataFrame:
 
 
 def _correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson of every pair in one aggregate; ``n`` is an optional weight column."""
+    """Pearson of every pair in one aggregate."""
     pairs = list(combinations(columns, 2))
     wide = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     long = wide.unpivot([], [f"{i}" for i in range(len(pairs))], "_i", "correlation")
@@ -130,35 +131,26 @@ def _correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.select(left.alias("left"), right.alias("right"), F.round("correlation", 6).alias("correlation"))
 
 
-def _weighted(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson of (a, b) rows that stand for ``_n`` copies each."""
-    w, x, y = F.col("_n"), F.col(a), F.col(b)
-    s = rows.agg(
-        F.sum(w).alias("n"), F.sum(w * x).alias("x"), F.sum(w * y).alias("y"),
-        F.sum(w * x * x).alias("xx"), F.sum(w * y * y).alias("yy"), F.sum(w * x * y).alias("xy"),
-    )
-    n = F.col("n")
-    cov = F.col("xy") - F.col("x") * F.col("y") / n
-    return s.select(
-        F.lit(a).alias("left"), F.lit(b).alias("right"),
-        F.round(cov / F.sqrt((F.col("xx") - F.col("x") * F.col("x") / n) * (F.col("yy") - F.col("y") * F.col("y") / n)), 6)
-        .alias("correlation"),
-    )
-
+def _rank_correlation(values: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Replace every column by its mean ranks, then Pearson of all pairs in one aggregate.
 
-def _centred_ranks(values: DataFrame, column: str) -> DataFrame:
-    """Mean rank of every value over ``_n`` copies, minus the middle rank (keeps the sums small)."""
-    counts = values.groupBy(column).agg(F.sum("_n").alias("_c"))
-    ranked = prefix_sums(counts, [], [column], magnitude_bucket(column), {"_hi": F.col("_c")}, {"_all": "_hi"})
-    mean = F.col("_hi") - (F.col("_c") - 1) / 2 - (F.col("_all") + 1) / 2
-    return ranked.select(F.col(column).alias("_value"), mean.alias("_rank"))
+    Ranks belong to distinct values. A column of few values joins by broadcast once its size is known; for the others
+    the adaptive skew join splits a frequent value.
+    """
+    for c in columns:
+        counts = values.groupBy(F.col(c).alias("_value")).agg(F.count(F.lit(1)).alias("_c"))
+        ranked = prefix_sums(counts, [], ["_value"], magnitude_bucket("_value"), {"_hi": F.col("_c")}, {"_all": "_hi"})
+        # The middle rank is taken off, which keeps the sums small.
+        mean = F.col("_hi") - (F.col("_c") - 1) / 2 - (F.col("_all") + 1) / 2
+        ranks = ranked.select("_value", mean.alias("_rank"))
+        values = values.join(ranks, F.col(c) == F.col("_value")).drop(c, "_value").withColumnRenamed("_rank", c)
+    return _correlations(values, columns)
 
 
 def correlation(df: DataFrame, method: str = "pearson", columns: Sequence[str] | None = None) -> DataFrame:
     """Correlation of every pair of numeric columns.
 
-    Spearman is Pearson over mean ranks. Ranks belong to distinct values, and pairs of values are counted before ranks
-    are joined to them, so a frequent value travels as one row.
+    Spearman is Pearson over mean ranks.
     """
     columns = list(columns or numeric_columns(df))
     if not columns:
@@ -167,16 +159,18 @@ def correlation(df: DataFrame, method: str = "pearson", columns: Sequence[str] |
         return _correlations(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), columns)
     if method != "spearman":
         raise ValueError(f"unknown method: {method}")
-    out = None
-    for a, b in combinations(columns, 2):
-        both = df.select(F.col(a).cast("double").alias(a), F.col(b).cast("double").alias(b)).dropna()
-        pairs = both.groupBy(a, b).agg(F.count(F.lit(1)).alias("_n"))
-        for c in (a, b):
-            ranks = _centred_ranks(pairs, c)
-            pairs = pairs.join(ranks, F.col(c) == F.col("_value")).drop(c, "_value").withColumnRenamed("_rank", c)
-        one = _weighted(pairs, a, b)
-        out = one if out is None else out.unionByName(one)
-    return out
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    holes = values.agg(*[F.count_if(F.col(c).isNull() | F.isnan(c)).alias(c) for c in columns]).first()
+    if not any(holes):
+        return _rank_correlation(values, columns)
+    # Ranks of a pair are taken over the rows where both are present.
+    return reduce(
+        DataFrame.unionByName,
+        [
+            _rank_correlation(values.select(a, b).where(f"not (`{a}` is null or `{b}` is null or isnan(`{a}`) or isnan(`{b}`))"), [a, b])
+            for a, b in combinations(columns, 2)
+        ],
+    )
 
 
 def summary(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from lorespan.plans.registry import ENTRIES, Entry
 
-MODULES = ("cleaning", "chunking", "retrieval", "evaluation", "analytics")
+MODULES = ("cleaning", "chunking", "retrieval", "evaluation", "analytics", "filters", "streams")
 
 
 def load() -> dict[str, Entry]:

@@ -89,10 +89,9 @@ def prune_history(spark: SparkSession, root: str) -> DataFrame:
     return conv.prune_history(messages(spark, root), 4).groupBy("conv_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query("get_messages", 249, sql="select turn, role, text from conversations where conv_id = 0 order by turn")
+@query("get_messages", 249, sql="select conv_id, turn, role, text from conversations order by conv_id, turn")
 def get_messages(spark: SparkSession, root: str) -> DataFrame:
-    """A listing by conversation id: the id is the argument of the feature."""
-    return conv.get_messages(messages(spark, root), 0).select("turn", "role", "text")
+    return conv.get_messages(messages(spark, root))
 
 
 @query(
