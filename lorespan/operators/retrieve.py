@@ -76,10 +76,31 @@ def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int | None):
     return rows[keep], ids[keep], scores[keep]
 
 
+def _comparable(table: pa.Table | pa.RecordBatch, vector: str) -> pa.Table | pa.RecordBatch:
+    """Rows without a full vector cannot be compared and are left out.
+
+    This is done here and not by a filter, which the optimizer would push below an encoder and run that twice.
+    """
+    column = table.column(vector)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if column.null_count:
+        table = table.filter(pa.compute.is_valid(column))
+        return _comparable(table, vector)
+    values = column.flatten() if len(column) else None
+    if values is None or not values.null_count:
+        return table
+    lengths = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(column)), lengths)
+    whole = np.ones(len(column), bool)
+    whole[owner[pa.compute.is_null(values).to_numpy(zero_copy_only=False)]] = False
+    return table.filter(pa.array(whole))
+
+
 class _Side:
     """Ids, vectors and (for hybrid scores) word hashes of one block."""
 
     def __init__(self, table: pa.Table | pa.RecordBatch, id_col: str, vector: str):
+        table = _comparable(table, vector)
         self.ids = _ids(table.column(id_col))
         self.vectors = _matrix(table.column(vector))
         self.words = self.owner = None
@@ -133,12 +154,12 @@ def _hits(q: _Side, c: _Side, args: dict):
 
 
 def _side(df: DataFrame, id_col: str, vector: str, words: bool) -> DataFrame:
-    """The columns that are scored; rows without a full vector cannot be compared and are left out."""
+    """The columns that are scored."""
     cols = [F.col(id_col), F.col(vector).cast("array<double>").alias(vector)]
     if words:
         distinct = F.array_distinct(t.tokens(F.col("text")))
         cols.append(F.transform(distinct, lambda w: F.xxhash64(w)).alias("_words"))
-    return df.select(*cols).where(F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull()))
+    return df.select(*cols)
 
 
 def _search(
