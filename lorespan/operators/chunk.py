@@ -135,23 +135,24 @@ def merge_small_spans(spans: Column, minimum: int = 120) -> Column:
     return F.aggregate(spans, start, step, end)
 
 
-def build_metadata(chunks: DataFrame, documents: DataFrame, name: str = "source", key: str = "doc_id") -> DataFrame:
+def build_metadata(
+    df: DataFrame, strategy: str, name: str = "source", key: str = "doc_id", text: str = "text", **opts
+) -> DataFrame:
     """Chunk facts for the index: document, file, index, total, characters, words.
 
-    The total comes from a count joined back, so a document with very many chunks is not brought to one task.
+    The total is the length of the row's own array of chunks, so nothing is counted, joined or shuffled.
     """
-    totals = chunks.groupBy(key).agg(F.count(F.lit(1)).alias("total_chunks"))
-    return (
-        chunks.join(totals, key)
-        .join(documents.select(key, name), key)
-        .select(
-            key,
-            name,
-            "chunk_index",
-            "total_chunks",
-            F.length("text").cast("long").alias("characters"),
-            t.word_count(F.col("text")).alias("words"),
-        )
+    spans = t.let(
+        chunk_spans(strategy, F.col(text), **opts),
+        lambda ss: F.transform(ss, lambda s: F.struct(s["text"].alias("text"), F.size(ss).alias("total"))),
+    )
+    return df.select(key, name, F.posexplode(spans).alias("chunk_index", "_c")).select(
+        key,
+        name,
+        F.col("chunk_index").cast("long").alias("chunk_index"),
+        F.col("_c.total").cast("long").alias("total_chunks"),
+        F.length("_c.text").cast("long").alias("characters"),
+        t.word_count(F.col("_c.text")).alias("words"),
     )
 
 

@@ -45,9 +45,9 @@ def statistics(samples: DataFrame) -> DataFrame:
         F.count_if(is_("gauge")).alias("gauges"),
         F.count_if(is_("histogram")).alias("histograms"),
         F.count(F.lit(1)).alias("total_metrics"),
-        F.round(F.sum(F.when(is_("counter"), F.col("total"))), 4).alias("counter_total"),
-        F.round(F.avg(F.when(is_("gauge"), F.col("last"))), 4).alias("gauge_average"),
-        F.coalesce(F.sum(F.when(is_("histogram"), F.col("n"))), F.lit(0)).alias("observations"),
+        F.coalesce(F.round(F.sum(F.when(is_("counter"), F.col("total"))), 4), F.lit(0.0)).alias("counter_total"),
+        F.coalesce(F.round(F.avg(F.when(is_("gauge"), F.col("last"))), 2), F.lit(0.0)).alias("average_gauge"),
+        F.coalesce(F.sum(F.when(is_("histogram"), F.col("n"))), F.lit(0)).alias("histogram_samples"),
     )
 
 

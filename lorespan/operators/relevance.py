@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lorespan.functions import text as t
 from lorespan.operators.rankeval import overlap_score
-from lorespan.operators.skew import first_rows
+from lorespan.operators.skew import first_rows, position
 
 # Weights of the two parts, threshold, bounds of the distribution.
 KEYWORD_WEIGHT = 0.4
@@ -38,9 +38,8 @@ def rank_documents(scored: DataFrame, keys: Sequence[str], doc: str, k: int | No
     scored = scored.drop("rank")
     if k is not None:
         return first_rows(scored, keys, order, k, "rank")
-    from pyspark.sql import Window
-
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    # All ranks: buckets of the score, so that a query with very many documents is spread over its scores.
+    return position(scored, keys, order, F.floor(-F.col("relevance") * 10_000), "rank")
 
 
 def split_relevant(scored: DataFrame) -> tuple[DataFrame, DataFrame]:

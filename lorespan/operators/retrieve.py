@@ -31,7 +31,7 @@ from lorespan.operators.skew import first_rows
 BROADCAST_ROWS = 20_000
 BROADCAST_BYTES = 64 << 20
 BROADCAST_HITS = 1_000_000
-BLOCK_ROWS = 8_192
+BLOCK_BYTES = 32 << 20
 METRICS = ("cosine", "ip", "l2", "l1")
 _PLACES = 9
 
@@ -176,13 +176,15 @@ def _search(
     corpus_vector: str = "embedding",
     exclude_self: bool = False,
     broadcast_rows: int = BROADCAST_ROWS,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> tuple[DataFrame, bool]:
     """The hits, and whether they are few enough to be broadcast (a bound on queries times k)."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
     if k is None and min_score is None:
         raise ValueError("give k or min_score")
+    if k is not None and k <= 0:
+        raise ValueError("k must be greater than zero")
     q = _side(queries, query_id, query_vector, alpha is not None)
     c = _side(corpus, corpus_id, corpus_vector, alpha is not None)
     args = dict(metric=metric, k=k, min_score=min_score, alpha=alpha, exclude_self=exclude_self)
@@ -199,6 +201,9 @@ def _search(
     if small:
         hits = _search_broadcast(_Side(head, query_id, query_vector), c, out, args, corpus_id, corpus_vector)
     else:
+        # Copies sent are rows times blocks of the other side, so blocks are as large as a task can comfortably hold.
+        width = max([len(x) for x in head.slice(0, 1).column(query_vector).to_pylist() if x], default=64)
+        block_rows = block_rows or max(1024, BLOCK_BYTES // (8 * width))
         hits = _search_blocks(q, c, out, args, query_id, query_vector, corpus_id, corpus_vector, block_rows)
     if k is not None:
         hits = first_rows(hits, ["_q"], [F.desc("score"), F.col("_c")], k, "rank")

@@ -18,17 +18,22 @@ def as_time(as_of: str | Column) -> Column:
 
 
 def sessionize(
-    events: DataFrame, gap: str = "6 hours", user: str = "user_id", ts: str = "ts", tie: str = "event_id"
+    events: DataFrame,
+    gap: str = "6 hours",
+    user: str = "user_id",
+    ts: str = "ts",
+    tie: str = "event_id",
+    bucket: str = "hour",
 ) -> DataFrame:
     """Number the sessions of every user: a pause longer than ``gap`` starts a new one.
 
-    Works day by day with carried ends, so that one busy user is spread over all their days.
+    Works hour by hour (``bucket``) with carried ends, so that one busy user is spread over all their hours.
     """
-    day = F.to_date(ts)
-    seen = previous_value(events, [user], [ts, tie], day, ts, "_previous")
+    cell = F.date_trunc(bucket, ts)
+    seen = previous_value(events, [user], [ts, tie], cell, ts, "_previous")
     fresh = F.coalesce(F.col(ts) > F.col("_previous") + F.expr(f"interval {gap}"), F.lit(True))
     flagged = seen.withColumn("_new", fresh.cast("long"))
-    return prefix_sums(flagged, [user], [ts, tie], day, {"session_no": F.col("_new")}).drop("_previous", "_new")
+    return prefix_sums(flagged, [user], [ts, tie], cell, {"session_no": F.col("_new")}).drop("_previous", "_new")
 
 
 def session_table(numbered: DataFrame, ttl: str = "1 day", user: str = "user_id", ts: str = "ts") -> DataFrame:

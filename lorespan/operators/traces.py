@@ -15,7 +15,7 @@ from lorespan.operators.skew import join_on
 SPAN_TYPES = (
     "llm", "rag", "memory", "retrieval", "embedding", "reranking", "tool", "database", "http", "custom",
 )
-STATES = ("started", "running", "completed", "error", "cancelled")
+STATES = ("unset", "ok", "error")
 
 
 def duration_ms(start: str = "start_time", end: str = "end_time", as_of: Column | None = None) -> Column:

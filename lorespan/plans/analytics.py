@@ -324,7 +324,7 @@ def compare_usage(spark: SparkSession, root: str) -> DataFrame:
         "b", F.struct("total_tokens", "total_cost", "provider", "model")
     )
     pairs = skew.previous_value(
-        rows, ["user_id"], ["created_at", "event_id"], F.to_date("created_at"), "b", "a"
+        rows, ["user_id"], ["created_at", "event_id"], F.date_trunc("hour", "created_at"), "b", "a"
     )
     return us.compare_usage(pairs.where("a is not null"), ["event_id"])
 
@@ -756,7 +756,7 @@ def spans(spark: SparkSession, root: str) -> DataFrame:
         F.col("event_id").alias("span_id"),
         F.col("event_type").alias("name"),
         kind.alias("span_type"),
-        F.when(failed, "error").when(F.col("value") > 400, "running").otherwise("completed").alias("status"),
+        F.when(failed, "error").when(F.col("value") > 400, "unset").otherwise("ok").alias("status"),
         F.col("ts").alias("start_time"),
         F.when(F.col("value") <= 400, end).alias("end_time"),
         F.create_map(F.lit("model"), F.concat(F.lit("m"), F.col("user_id").cast("string"))).alias("attributes"),
@@ -770,8 +770,8 @@ def raised_type() -> str:
 
 _TYPE_SQL = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in _TYPES.items()) + " end"
 _SP = f"""sp as (select user_id || '-' || ts::date as trace_id, event_id as span_id, event_type as name,
-    {_TYPE_SQL} as span_type, case when event_type = 'error' then 'error' when value > 400 then 'running'
-    else 'completed' end as status, ts as start_time, case when value <= 400 then
+    {_TYPE_SQL} as span_type, case when event_type = 'error' then 'error' when value > 400 then 'unset'
+    else 'ok' end as status, ts as start_time, case when value <= 400 then
     make_timestamp(epoch_us(ts) + round(value * 1000)::bigint) end as end_time, 'm' || user_id as model, value, props
     from events), d as (select *, round((epoch_us(end_time) - epoch_us(start_time)) / 1000, 3) as ms from sp)"""
 
@@ -788,10 +788,10 @@ def search_spans(spark: SparkSession, root: str) -> DataFrame:
 @query(
     "filter_spans",
     39,
-    sql=f"with {_SP} select span_id from d where status = 'completed' and span_type = 'tool'",
+    sql=f"with {_SP} select span_id from d where status = 'ok' and span_type = 'tool'",
 )
 def filter_spans(spark: SparkSession, root: str) -> DataFrame:
-    return tr.filter_spans(spans(spark, root), "completed", "tool").select("span_id")
+    return tr.filter_spans(spans(spark, root), "ok", "tool").select("span_id")
 
 
 @query(
@@ -836,6 +836,16 @@ def span_types(spark: SparkSession, root: str) -> DataFrame:
     return tr.counts_with_zeros(spans(spark, root), "span_type", tr.SPAN_TYPES)
 
 
+@query(
+    "span_states",
+    303,
+    sql=f"""with {_SP} select t as status, (select count(*) from d where status = t) as spans
+    from (select unnest({list(tr.STATES)}) as t)""",
+)
+def span_states(spark: SparkSession, root: str) -> DataFrame:
+    return tr.counts_with_zeros(spans(spark, root), "status", tr.STATES)
+
+
 @query(
     "span_exceptions",
     304,
@@ -920,7 +930,7 @@ def histogram_quantiles(spark: SparkSession, root: str) -> DataFrame:
     group by all) select count(*) filter (where type = 'counter') as counters, count(*) filter (where type = 'gauge')
     as gauges, count(*) filter (where type = 'histogram') as histograms, count(*) as total_metrics,
     round(sum(total) filter (where type = 'counter'), 4) as counter_total, round(avg(last) filter (where type = 'gauge'),
-    4) as gauge_average, sum(n) filter (where type = 'histogram')::bigint as observations from p""",
+    2) as average_gauge, sum(n) filter (where type = 'histogram')::bigint as histogram_samples from p""",
 )
 def metrics_summary(spark: SparkSession, root: str) -> DataFrame:
     return ms.statistics(samples(spark, root))

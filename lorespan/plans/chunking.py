@@ -312,8 +312,7 @@ def chunk_by_extension(spark: SparkSession, root: str) -> DataFrame:
     {q.n_words("x")} as words from u order by doc_id, chunk_index""",
 )
 def chunk_metadata(spark: SparkSession, root: str) -> DataFrame:
-    docs = table(spark, root, "documents")
-    return chunk.sort_chunks(chunk.build_metadata(chunk.chunk_documents(docs, "words"), docs))
+    return chunk.sort_chunks(chunk.build_metadata(table(spark, root, "documents"), "words"))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lorespan.functions import text as t
 from lorespan.operators import metricstore as ms, predicates as p, profile as pr
+from lorespan.operators.skew import width_bucket
 from lorespan.plans import sqltext as q
 from lorespan.plans.analytics import samples
 from lorespan.plans.registry import query
@@ -200,8 +201,8 @@ def export_nested(spark: SparkSession, root: str) -> DataFrame:
     m = table(spark, root, "conversations").select("conv_id", "turn", "role")
     parents = m.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
     path = scratch_path(spark, "nested")
-    ex.write_json(ex.nested(parents, m, "conv_id", ["turn"]), path)
-    kind = "conv_id long, n long, messages array<struct<turn:long,role:string>>"
+    ex.write_json(ex.nested(parents, m, "conv_id", "turn", width_bucket("turn")), path)
+    kind = "conv_id long, n long, part long, messages array<struct<turn:long,role:string>>"
     return spark.read.schema(kind).json(path).select(
         "conv_id",
         "n",

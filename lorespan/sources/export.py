@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lorespan.operators.skew import position
+
 # The escapes of HTML text, in order.
 HTML_ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))
 
@@ -64,17 +66,26 @@ def write_documents(blocks: DataFrame, path: str, conv: str = "conv_id", turn: s
     ordered.select(conv, F.col("block").alias("value")).write.mode(mode).partitionBy(conv).text(path)
 
 
-def nested(parents: DataFrame, children: DataFrame, key: str, order: Sequence[str], name: str = "messages") -> DataFrame:
-    """Each parent as one object that holds its children.
+def nested(
+    parents: DataFrame,
+    children: DataFrame,
+    key: str,
+    order: str,
+    bucket: Column,
+    name: str = "messages",
+    part_rows: int = 10_000,
+) -> DataFrame:
+    """Parents as objects that hold their children in order.
 
-    The children of a parent end up in one record by definition of the format; use the flat tables for parents of
-    unbounded size.
+    A record holds at most ``part_rows`` children; a larger parent continues in records ``part`` 1, 2, ..., so that no
+    task ever collects a parent of unbounded size. ``bucket`` must not decrease along ``order``.
     """
-    fields = [c for c in children.columns if c != key]
-    held = children.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct(*order, *[c for c in fields if c not in order]))).alias(name)
+    fields = [c for c in children.columns if c not in (key, order)]
+    numbered = position(children, [key], [order], bucket, "_pos").withColumn(
+        "part", F.floor((F.col("_pos") - 1) / part_rows)
     )
-    return parents.join(held, key, "left")
+    held = numbered.groupBy(key, "part").agg(F.sort_array(F.collect_list(F.struct(order, *fields))).alias(name))
+    return parents.join(held, key, "left").withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
 
 
 def as_json(df: DataFrame, keys: Sequence[str], name: str = "json") -> DataFrame:
