@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lorespan.functions import text as t
-from lorespan.operators.skew import first_rows, prefix_sums, width_bucket
+from lorespan.operators.skew import first_rows, prefix_sums, side_by_side, width_bucket
 
 CONV, TURN = "conv_id", "turn"
 
@@ -94,9 +94,7 @@ def statistics(messages: DataFrame, memories: DataFrame | None = None) -> DataFr
     counts = messages.agg(F.count_distinct(CONV).alias("conversations"), F.count(F.lit(1)).alias("messages"))
     if memories is None:
         return counts
-    from lorespan.operators.skew import join_on
-
-    return join_on(counts, memories.agg(F.count(F.lit(1)).alias("stored_memories")), [])
+    return side_by_side(counts, memories.agg(F.count(F.lit(1)).alias("stored_memories")))
 
 
 def analytics(messages: DataFrame) -> DataFrame:

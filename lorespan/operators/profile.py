@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType, DateType, TimestampNTZType, TimestampType
 
 from lorespan.operators.dedup import duplicate_rows
-from lorespan.operators.skew import exact_quantiles, join_on, magnitude_bucket, prefix_sums
+from lorespan.operators.skew import exact_quantiles, join_on, magnitude_bucket, prefix_sums, side_by_side
 
 
 def kinds(df: DataFrame) -> dict[str, str]:
@@ -69,10 +69,8 @@ def value_counts(df: DataFrame, column: str, normalize: bool = False) -> DataFra
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
     if not normalize:
         return counts
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
-    return join_on(counts.withColumn("_one", F.lit(1)), total.withColumn("_one", F.lit(1)), ["_one"]).select(
-        column, "count", F.round(F.col("count") / F.col("_n"), 6).alias("share")
-    )
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return counts.select(column, "count", F.round(F.col("count") / total, 6).alias("share"))
 
 
 def unique_values(df: DataFrame, column: str) -> DataFrame:
@@ -176,7 +174,7 @@ def correlation(df: DataFrame, method: str = "pearson", columns: Sequence[str] |
 def summary(df: DataFrame) -> DataFrame:
     """Rows, columns, columns by kind, duplicated rows, rows with nulls."""
     kind = list(kinds(df).values())
-    counted = join_on(join_on(shape(df), duplicate_rows(df).select("duplicate_rows"), []), null_row_count(df), [])
+    counted = side_by_side(shape(df), duplicate_rows(df).select("duplicate_rows"), null_row_count(df))
     return counted.withColumn("numeric_columns", F.lit(kind.count("numeric")).cast("long")).withColumn(
         "categorical_columns", F.lit(kind.count("categorical")).cast("long")
     )

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lorespan.operators.skew import first_rows, prefix_sums, previous_value
+from lorespan.operators.skew import first_rows, prefix_sums, previous_value, side_by_side
 from lorespan.operators.usage import retain
 
 # Fixed value: failed logins per user and day that raise an alert.
@@ -126,11 +126,8 @@ def failed_login_alerts(failures: DataFrame, minimum: int = FAILED_LOGINS, user:
 
 
 def security_statistics(failures: DataFrame, alerts: DataFrame) -> DataFrame:
-    from lorespan.operators.skew import join_on
-
-    return join_on(
-        failures.agg(F.count(F.lit(1)).alias("failed_logins")), alerts.agg(F.count(F.lit(1)).alias("security_alerts")), []
-    )
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return side_by_side(n(failures, "failed_logins"), n(alerts, "security_alerts"))
 
 
 def cleanup(tables: dict[str, tuple[DataFrame, str]], as_of: str, days: int = 90) -> dict[str, DataFrame]:

@@ -11,6 +11,7 @@ day or hour.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -39,9 +40,15 @@ def _key_of_cell(keys: Sequence[str]) -> list[Column]:
     return [F.col("_cell")[k] for k in keys]
 
 
+def side_by_side(*single_rows: DataFrame) -> DataFrame:
+    """Aggregates of one row each as one row, without a join."""
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), single_rows)
+    return together.agg(*[F.first(c, ignorenulls=True).alias(c) for c in together.columns])
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on equal keys where null equals null; without keys both sides are single rows."""
-    key = F.struct(*keys) if keys else F.struct(F.lit(0))
+    """Join on equal keys where null equals null."""
+    key = F.struct(*keys)
     r = right.withColumn("_k", key).drop(*keys)
     return left.withColumn("_k", key).join(r, "_k", how).drop("_k")
 

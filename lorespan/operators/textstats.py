@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lorespan.functions import text as t
-from lorespan.operators.skew import exact_quantiles, join_on
+from lorespan.operators.skew import exact_quantiles, side_by_side
 
 
 def statistics(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -39,7 +39,7 @@ def token_statistics(df: DataFrame, text: str = "text", method: str = "words13")
         F.max("n").alias("maximum"),
         F.round(F.avg("n"), 2).alias("average"),
     )
-    return join_on(totals, median, [], "left").withColumn("median", F.round("median", 2))
+    return side_by_side(totals, median).withColumn("median", F.round("median", 2))
 
 
 def fits_context(df: DataFrame, limit: int = 512, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lorespan.functions import text as t
-from lorespan.operators.skew import join_on
+from lorespan.operators.skew import side_by_side
 
 # Span types and states.
 SPAN_TYPES = (
@@ -61,7 +61,7 @@ def trace_summaries(spans: DataFrame, as_of: Column | None = None) -> DataFrame:
 def mean_durations(spans: DataFrame, as_of: Column | None = None) -> DataFrame:
     traces = trace_summaries(spans, as_of).agg(F.round(F.avg("duration_ms"), 3).alias("average_trace_duration"))
     finished = spans.where("end_time is not null").agg(F.round(F.avg(duration_ms()), 3).alias("average_span_duration"))
-    return join_on(traces, finished, [])
+    return side_by_side(traces, finished)
 
 
 def counts_with_zeros(spans: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lorespan.functions import text as t
-from lorespan.operators.skew import join_on
+from lorespan.operators.skew import side_by_side
 
 # Prices per 1000 tokens by provider; the token counts of a usage row.
 PRICES = {
@@ -251,7 +251,7 @@ def session_ratios(usage: DataFrame, sessions: DataFrame) -> DataFrame:
         _n().alias("messages"), F.sum("total_tokens").alias("tokens"), F.count_distinct("user_id").alias("users")
     )
     b = sessions.agg(_n().alias("sessions"))
-    both = join_on(a, b, [])
+    both = side_by_side(a, b)
     per = lambda c: F.round(t.share(F.col(c), F.col("sessions")), 2)
     return both.select(
         "messages",

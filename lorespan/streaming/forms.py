@@ -80,7 +80,11 @@ def rate_violations(events: DataFrame, window: str, limit: int | None = None, de
 
 
 def user_sessions(events: DataFrame, gap: str = "6 hours", delay: str = "1 hour") -> DataFrame:
-    """Sessions that close after a pause of ``gap``."""
+    """Sessions that close after a pause of ``gap``.
+
+    Do not filter a batch result by the session's start or end: the optimizer pushes such a filter below the merging
+    of the events. ``operators.sessions`` is the batch form.
+    """
     return (
         events.withWatermark("ts", delay)
         .groupBy("user_id", F.session_window("ts", gap))

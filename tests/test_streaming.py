@@ -37,7 +37,9 @@ def test_append_mode_equals_closed_groups(spark, days):
     path, events = days
     got = f.collect_available(f.user_sessions(f.event_stream(spark, path, events.schema, 1)), "append")
     closed = events.agg(F.max("ts")).first()[0] - dt.timedelta(hours=1)
-    assert rows(got) == rows(f.user_sessions(events).where(F.col("end") <= F.lit(closed)))
+    # Compared in Python: a filter on a session's end would be pushed below the merging of its events.
+    at_end = sorted(got.columns).index("end")
+    assert rows(got) == [r for r in rows(f.user_sessions(events)) if r[at_end] <= closed]
 
 
 def test_alerts_grow_over_batches(spark, days):
