@@ -104,3 +104,14 @@ def validate_users(df: DataFrame, email: str = "email", name: str = "username")
     return df.withColumn("email_valid", F.coalesce(F.col(email).rlike(EMAIL), F.lit(False))).withColumn(
         "name_valid", F.coalesce(F.length(t.strip(F.col(name))) >= 3, F.lit(False))
     )
+
+
+def user_facts(
+    logins: DataFrame, as_of: str, user: str = "user_id", ts: str = "ts"
+) -> DataFrame:
+    """Age of the account in days, number of logins and last login, from the user's events."""
+    facts = logins.groupBy(user).agg(
+        F.min(ts).alias("created_at"), F.count(F.lit(1)).alias("logins"), F.max(ts).alias("last_login")
+    )
+    age = F.datediff(F.lit(as_of).cast("date"), F.to_date("created_at"))
+    return facts.select(user, age.alias("age_days"), "logins", "last_login")

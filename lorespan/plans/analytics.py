@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lorespan.operators import (
     conversation as conv,
     metricstore as ms,
+    predicates as p,
     profile as pr,
     sessions as se,
     skew,
@@ -1022,11 +1023,7 @@ def request_latency(spark: SparkSession, root: str) -> DataFrame:
     max(ts) as last_login from events group by user_id""",
 )
 def account_age(spark: SparkSession, root: str) -> DataFrame:
-    users = table(spark, root, "events").groupBy("user_id").agg(
-        F.min("ts").alias("created_at"), F.count(F.lit(1)).alias("logins"), F.max("ts").alias("last_login")
-    )
-    age = F.datediff(F.lit("2024-03-01").cast("date"), F.to_date("created_at"))
-    return users.select("user_id", age.alias("age_days"), "logins", "last_login")
+    return p.user_facts(table(spark, root, "events"), "2024-03-01")
 
 
 # Profiles --------------------------------------------------------------------------------------------------------------

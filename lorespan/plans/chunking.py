@@ -219,7 +219,23 @@ def chunk_recursive_split(spark: SparkSession, root: str) -> DataFrame:
     return chunk.chunk_documents(docs, "recursive_split", size=400).select("doc_id", "text", "chunk_index")
 
 
-@query("chunk_recursive", 114, 127)
+@query(
+    "chunk_recursive",
+    114,
+    127,
+    sql=f"""with p as (select doc_id, case when length(text) <= 500 then [text] else
+    {q.not_blank("string_split(text, chr(10) || chr(10))")} end as ps from documents where text <> ''),
+    u as (select doc_id, unnest(ps) as text, generate_subscripts(ps, 1) as i from p),
+    g as (select doc_id, i, case when length(text) <= 500 then [text] else
+    {_pack(_SENT, "x", "c + w + 1 <= 500", "c + 1 + w")} end as ps from u),
+    f as (select doc_id, i, unnest(ps) as text, generate_subscripts(ps, 1) as j from g),
+    h as (select doc_id, i, j, case when length(text) <= 500 then [{q.strip("text")}] else
+    list_transform(range(0, length(text) - 50, 450), lambda a: {q.strip("substring(text, a + 1, 500)")}) end as ps from f),
+    z as (select doc_id, i, j, unnest(ps) as text, generate_subscripts(ps, 1) as k from h)
+    select doc_id, text, row_number() over (partition by doc_id order by i, j, k) - 1 as chunk_index,
+    null::bigint as start_char, null::bigint as end_char, greatest(1, {q.n_words("text")}) as token_count,
+    {q.n_words("text")} as word_count from z""",
+)
 def chunk_recursive(spark: SparkSession, root: str) -> DataFrame:
     return chunk.chunk_documents(table(spark, root, "documents"), "recursive")
 
@@ -476,7 +492,23 @@ def markdown_statistics(spark: SparkSession, root: str) -> DataFrame:
     return structure.markdown_statistics(written(spark, root, "markdown"))
 
 
-@query("markdown_plain_text", 137)
+def _plain_sql(x: str) -> str:
+    for pattern, to in (
+        (r"(?s)^---\n.*?\n---\n?", ""),
+        (r"(?m)^```.*$\n?", ""),
+        ("`([^`]*)`", r"\1"),
+        (r"!\[([^\]]*)\]\([^)]*\)", r"\1"),
+        (r"\[([^\]]*)\]\([^)]*\)", r"\1"),
+        (r"(?m)^#{1,6}\s+", ""),
+        (r"(?m)^\s*[-*+]\s+", ""),
+        (r"(?m)^>\s?", ""),
+        (r"[*_]{1,3}([^*_\n]+)[*_]{1,3}", r"\1"),
+    ):
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return q.strip(x)
+
+
+@query("markdown_plain_text", 137, sql=f"{_MD} select doc_id, {_plain_sql('text')} as plain from w")
 def markdown_plain_text(spark: SparkSession, root: str) -> DataFrame:
     return written(spark, root, "markdown").select("doc_id", structure.plain_text(F.col("text")).alias("plain"))
 

@@ -193,12 +193,22 @@ for _name, (_row, _spark, _sql) in STEPS.items():
     _step(_name, _row, _spark, _sql)
 
 
-@query("clean_ocr_noise", 74)
+_OCR_SQL = _chain("text", c.LIGATURES.items())
+for _ in range(2):  # the second pass sees the letters that end one match and begin the next
+    _OCR_SQL = _sub(_OCR_SQL, "\\b([A-Za-z])\\s+([A-Za-z])\\b", "\\1 \\2")
+
+
+@query("clean_ocr_noise", 74, sql=f"with {NOISY_SQL} select doc_id, {_OCR_SQL} as cleaned from noisy")
 def clean_ocr_noise(spark: SparkSession, root: str) -> DataFrame:
     return noisy(spark, root).select("doc_id", c.clean_ocr_noise(F.col("text")).alias("cleaned"))
 
 
-@query("clean_remove_markdown", 64)
+_MARKDOWN_SQL = lambda x: reduce(lambda y, m: _sub(y, "(?ms)" + m, " "), c.MARKDOWN, x)
+
+
+@query(
+    "clean_remove_markdown", 64, sql=f"with {NOISY_SQL} select doc_id, {_MARKDOWN_SQL('text')} as cleaned from noisy"
+)
 def remove_markdown(spark: SparkSession, root: str) -> DataFrame:
     return noisy(spark, root).select("doc_id", c.remove_markdown(F.col("text")).alias("cleaned"))
 
@@ -299,7 +309,14 @@ def validate_texts(spark: SparkSession, root: str) -> DataFrame:
     return clean.validate_texts(table(spark, root, "documents"), minimum=300).select("doc_id", "reject_reason")
 
 
-@query("preprocess_documents", 84)
+@query(
+    "preprocess_documents",
+    84,
+    sql=f"""with {NOISY_SQL}, s as (select doc_id, {_sub(_sub(_MARKDOWN_SQL(_sub(_chain("text", [("ﬁ", "fi"),
+    ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]), "<[^>]+>", " ")), "[ \\t]+", " "), "\\n{3,}", chr(10) * 2)} as x
+    from noisy) select doc_id, {q.strip("lower(" + q.join(f"list_filter({q.lines('x')}, lambda l: {q.strip('l')} <> '')",
+    "chr(10)") + ")")} as cleaned from s""",
+)
 def preprocess_documents(spark: SparkSession, root: str) -> DataFrame:
     return noisy(spark, root).select("doc_id", clean.preprocess(F.col("text"), lower=True).alias("cleaned"))
 

@@ -10,7 +10,7 @@ from lorespan.operators.skew import width_bucket
 from lorespan.plans import sqltext as q
 from lorespan.plans.analytics import samples
 from lorespan.plans.registry import query
-from lorespan.plans.retrieval import retrieved
+from lorespan.plans.retrieval import _RETRIEVE, retrieved
 from lorespan.session import scratch_path
 from lorespan.sources import export as ex, files as fi
 from lorespan.sources.tables import table
@@ -183,7 +183,7 @@ def export_documents(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-@query("export_search_results", 16)
+@query("export_search_results", 16, sql=f"{_RETRIEVE} select query_id, n as rank, vec_id, source, page, text from hits")
 def export_search_results(spark: SparkSession, root: str) -> DataFrame:
     path = scratch_path(spark, "hits")
     ex.write_json(retrieved(spark, root).select("query_id", "rank", "vec_id", "source", "page", "text"), path)

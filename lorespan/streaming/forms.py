@@ -7,6 +7,7 @@ everything that has arrived. Event times must be timestamps.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
@@ -158,17 +159,31 @@ def deduplicated(events: DataFrame, key: str = "event_id", delay: str = "1 hour"
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key])
 
 
+@contextmanager
+def _state_partitions(spark: SparkSession) -> Iterator[None]:
+    """A local session needs no more state partitions than it has cores; a cluster keeps its setting."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    if spark.sparkContext.master.startswith("local"):
+        spark.conf.set(name, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def run_append(form: DataFrame, path: str, checkpoint: str) -> None:
     """Exactly-once append to Parquet of everything that has arrived."""
-    q = (
-        form.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
+    with _state_partitions(form.sparkSession):
+        q = (
+            form.writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        q.awaitTermination()
 
 
 def run_update(form: DataFrame, path: str, checkpoint: str) -> None:
@@ -177,14 +192,15 @@ def run_update(form: DataFrame, path: str, checkpoint: str) -> None:
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/part={number}")
 
-    q = (
-        form.writeStream.outputMode("update")
-        .foreachBatch(keep)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
+    with _state_partitions(form.sparkSession):
+        q = (
+            form.writeStream.outputMode("update")
+            .foreachBatch(keep)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        q.awaitTermination()
 
 
 def collect_available(form: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
