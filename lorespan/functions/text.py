@@ -1,6 +1,6 @@
 """Text expressions. Everything here stays in the JVM and is local to its row.
 
-The reference's regular expressions are Unicode aware, Java's are not by default: ``(?U)`` or explicit
+Patterns are meant to be Unicode aware, Java's are not by default: ``(?U)`` or explicit
 ``\\p{..}`` classes are used throughout. A word character is a letter, a number or an underscore.
 """
 
