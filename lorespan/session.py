@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -28,20 +29,23 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
     return spark
 
 
+@functools.cache
+def _own_root() -> str:
+    return tempfile.mkdtemp(prefix="lorespan-")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a folder of this machine: on a cluster the executors could
-    not see it.
+    Only under a local master, where driver and executors are one process, a folder of this process stands in for a
+    setting that is missing: on a cluster the executors could not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="lorespan-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _own_root()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
