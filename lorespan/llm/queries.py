@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lorespan.llm import simhash
+from lorespan.llm import pfor, simhash, tokencount
 
 QUERIES = {
+    "op4_token_counts": tokencount.op4_token_counts,
+    "op5_token_id_blocks": pfor.op5_token_id_blocks,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
 }
 
