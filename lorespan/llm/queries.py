@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lorespan.llm import pfor, simhash, tokencount
+from lorespan.llm import packing, pfor, simhash, tokencount
 
 QUERIES = {
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_token_counts": tokencount.op4_token_counts,
     "op5_token_id_blocks": pfor.op5_token_id_blocks,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
