@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lorespan.llm import packing, pfor, simhash, tokencount
+from lorespan.llm import langid, packing, pfor, simhash, tokencount
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_token_counts": tokencount.op4_token_counts,
     "op5_token_id_blocks": pfor.op5_token_id_blocks,
