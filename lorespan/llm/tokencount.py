@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import functools
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +18,10 @@ from lorespan.llm.tokens import _ENDS, _SAFE_SPACE, _Memory, _plain, encoder, ev
 
 #: Documents and bytes of text that share a block; a block's pre-tokens are listed once with their frequencies.
 BLOCK_ROWS = 20_000
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 32 << 20
+#: Hash values of pre-tokens that share a row, and the byte between them.
+BUCKETS = 4096
+SEPARATOR = b"\xff"
 
 
 class _PreTokens:
@@ -84,11 +87,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
 
 
 def pre_token_postings(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per-document pre-token frequencies, as ``block, word, at, times, ids, n_bytes``.
+    """Per-document pre-token frequencies, as ``bucket, block, words, entries, at, times, ids, n_bytes``.
 
-    A block is a run of documents of one input split. Each distinct pre-token of a block has a row with the packed
-    positions of its documents (``at``, 16 bits) and its frequencies in them (``times``, 8 bits; larger ones are
-    repeated entries). One more row per block, of a name that no pre-token has, lists the documents.
+    A block is a run of documents of one input split, a bucket holds the pre-tokens of a hash value. Their row has the
+    distinct pre-tokens (``words``, joined by a byte that UTF-8 never uses) and for each of them the number of its
+    entries: positions of documents in the block (``at``, 16 bits) and frequencies there (``times``, 8 bits; larger
+    ones are repeated entries). One more row per block lists the documents.
     """
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("t"))
 
@@ -96,96 +100,112 @@ def pre_token_postings(docs: DataFrame, vocabulary: str, id: str = "doc_id", tex
         split, pre = TaskContext.get().partitionId() << 32, _PreTokens(vocabulary)
         for number, (ids, texts) in enumerate(_blocks(batches)):
             pre.fresh()
-            keys, sizes = [], []
+            words, docs_at, counts, sizes = [], [], [], []
             for at, t in enumerate(texts):
                 sizes.append(len(t.encode()) if t else 0)
                 found = [w for piece in pre.of(t) for w in piece] if t else []
-                own, times = np.unique(np.array(found, dtype=np.int64), return_counts=True)
+                own, times = np.unique(np.array(found, dtype=np.int32), return_counts=True)
                 while len(own):
-                    keys.append(np.stack([own, np.full(len(own), at), np.minimum(times, 255)]))
+                    words.append(own)
+                    docs_at.append(np.full(len(own), at, np.uint16))
+                    counts.append(np.minimum(times, 255).astype(np.uint8))
                     own, times = own[times > 255], times[times > 255] - 255
-            all_keys = np.concatenate(keys, axis=1) if keys else np.zeros((3, 0), np.int64)
-            all_keys = all_keys[:, np.argsort(all_keys[0], kind="stable")]
-            cut = np.searchsorted(all_keys[0], np.arange(len(pre.names) + 1)).tolist()
-            at, times = all_keys[1].astype("<u2").tobytes(), all_keys[2].astype(np.uint8).tobytes()
-            block, words = split + number, pre.names
-            n = len(words)
-            for i in range(0, n, 20_000):
-                j = min(n, i + 20_000)
-                yield _postings_batch(
-                    [block] * (j - i),
-                    words[i:j],
-                    [at[2 * cut[k] : 2 * cut[k + 1]] for k in range(i, j)],
-                    [times[cut[k] : cut[k + 1]] for k in range(i, j)],
-                    [None] * (j - i),
-                    [None] * (j - i),
-                )
-            yield _postings_batch([block], [f"\0 {block}"], [None], [None], [ids], [sizes])
+            block = split + number
+            yield _postings_batch([block % BUCKETS], [block], *[[None]] * 4, [ids], [sizes])
+            if not words:
+                continue
+            names = [w.encode() for w in pre.names]
+            bucket = np.fromiter(map(zlib.crc32, names), np.int64, len(names)) % BUCKETS
+            order = np.argsort(bucket, kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order))
+            key = rank[np.concatenate(words)]
+            by_word = np.argsort(key, kind="stable")
+            at, times = np.concatenate(docs_at)[by_word], np.concatenate(counts)[by_word]
+            entries = np.bincount(key, minlength=len(order)).astype("<u4")
+            del words, docs_at, counts, key, by_word
+            held, cut = np.unique(bucket[order], return_index=True)
+            cut = np.append(cut, len(order)).tolist()
+            ends = np.concatenate([[0], np.cumsum(entries, dtype=np.int64)])[cut].tolist()
+            runs = list(zip(cut, cut[1:], ends, ends[1:]))
+            yield _postings_batch(
+                held,
+                [block] * len(held),
+                [SEPARATOR.join([names[k] for k in order[i:j]]) for i, j, _, _ in runs],
+                [entries[i:j].tobytes() for i, j, _, _ in runs],
+                [at[i:j].astype("<u2").tobytes() for _, _, i, j in runs],
+                [times[i:j].tobytes() for _, _, i, j in runs],
+                [None] * len(held),
+                [None] * len(held),
+            )
 
     return rows.mapInArrow(
-        run, "block long, word string, at binary, times binary, ids array<long>, n_bytes array<long>"
+        run,
+        "bucket int, block long, words binary, entries binary, at binary, times binary, ids array<long>, n_bytes array<long>",
     )
 
 
 def _postings_batch(*columns) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    names = ["block", "word", "at", "times", "ids", "n_bytes"]
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64()), pa.list_(pa.int64())]
+    names = ["bucket", "block", "words", "entries", "at", "times", "ids", "n_bytes"]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
-def piece_counts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
-    """``token, pieces`` of every distinct pre-token of the texts."""
+def _count_pieces(vocabulary: str) -> _Memory:
+    enc = encoder(vocabulary)
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre = _PreTokens(vocabulary)
-        for _, texts in _blocks(batches):
-            pre.fresh()
-            for t in texts:
-                if t:
-                    pre.of(t)
-            yield pa.RecordBatch.from_arrays([pa.array(pre.names, pa.string())], ["token"])
+    def count(word: bytes) -> int:
+        token = word.decode()
+        if enc.keeps_space and _plain(token.removeprefix(" ")):
+            return len(enc.model.tokenize(enc.as_letters(token)))
+        return len(enc.lib.encode(token, add_special_tokens=False).ids)
+
+    return _Memory(count)
+
+
+def block_sums(postings: DataFrame, vocabulary: str) -> DataFrame:
+    """Tokens of each block's documents that lie in the pre-tokens of one partition, as ``block, at, sums, ids, n_bytes``.
+
+    All rows of a pre-token meet in one partition; its pieces are counted there once and joined to every frequency.
+    Rows come block by block, so a task holds one block's sums and the counts of its own pre-tokens.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _count_pieces(vocabulary)
+        block, docs, amounts = None, [], []
+
+        def done() -> pa.RecordBatch:
+            total = np.bincount(np.concatenate(docs), np.concatenate(amounts)).astype("<u4")
+            at = np.flatnonzero(total)
+            total = total[at]
+            packed = total.astype(np.min_scalar_type(total.max()) if len(total) else np.uint8)
+            return _sums_batch([block], [at.astype("<u2").tobytes()], [packed.tobytes()], [None], [None])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
         for batch in batches:
-            tokens = batch.column("token").to_pylist()
-            pieces = [
-                len(enc.model.tokenize(enc.as_letters(t)))
-                if enc.keeps_space and (t[:1] == " " and _plain(t[1:]) or _plain(t))
-                else len(enc.lib.encode(t, add_special_tokens=False).ids)
-                for t in tokens
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("token"), pa.array(pieces, pa.int32())], ["token", "pieces"])
-
-    texts = docs.select(F.lit(0).cast("long").alias("id"), F.col(text).alias("t"))
-    return texts.mapInArrow(words, "token string").distinct().mapInArrow(count, "token string, pieces int")
-
-
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of a batch of joined postings, packed per block; a block's list of documents passes through."""
-    for batch in batches:
-        block, n = batch.column("block").to_numpy(), batch.column("pieces").to_numpy(zero_copy_only=False)
-        at, times = batch.column("at").to_pylist(), batch.column("times").to_pylist()
-        listed = np.array([a is None for a in at])
-        lengths = np.array([0 if t is None else len(t) for t in times])
-        row = np.repeat(np.arange(len(block)), lengths)
-        doc = np.frombuffer(b"".join(a for a in at if a), "<u2").astype(np.int64)
-        amount = np.frombuffer(b"".join(t for t in times if t), np.uint8) * np.nan_to_num(n)[row].astype(np.int64)
-        uniq, inverse = np.unique(block, return_inverse=True)
-        keys, where = np.unique(inverse[row] << 16 | doc, return_inverse=True)
-        sums = np.bincount(where, amount, len(keys)).astype(np.int64)
-        cut = np.searchsorted(keys >> 16, np.arange(len(uniq) + 1))
-        out = [
-            (int(b), (keys[i:j] & 0xFFFF).astype("<u2").tobytes(), sums[i:j].astype("<u4").tobytes(), None, None)
-            for b, i, j in zip(uniq, cut[:-1], cut[1:])
-            if j > i
-        ]
-        ids, sizes = batch.column("ids"), batch.column("n_bytes")
-        out += [(int(block[i]), None, None, ids[i].as_py(), sizes[i].as_py()) for i in np.flatnonzero(listed)]
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 5, kinds)], ["block", "at", "sums", "ids", "n_bytes"]
-        )
+            columns = [batch.column(c) for c in ("block", "words", "entries", "at", "times")]
+            for i, row in enumerate(zip(*columns)):
+                number, words, entries, at, times = (x.as_py() for x in row)
+                if words is None:
+                    yield _sums_batch([number], [None], [None], [batch.column("ids")[i].as_py()], [batch.column("n_bytes")[i].as_py()])
+                    continue
+                if number != block:
+                    if docs:
+                        yield done()
+                    block, docs, amounts = number, [], []
+                each = np.fromiter(map(pieces.__getitem__, words.split(SEPARATOR)), np.int64)
+                docs.append(np.frombuffer(at, "<u2").astype(np.int64))
+                amounts.append(np.repeat(each, np.frombuffer(entries, "<u4")) * np.frombuffer(times, np.uint8))
+        if docs:
+            yield done()
+
+    dealt = postings.repartition("bucket").sortWithinPartitions("block")
+    return dealt.mapInArrow(run, "block long, at binary, sums binary, ids array<long>, n_bytes array<long>")
+
+
+def _sums_batch(*columns) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    names = ["block", "at", "sums", "ids", "n_bytes"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
 
 def _total(rows: pd.DataFrame) -> pd.DataFrame:
@@ -193,7 +213,8 @@ def _total(rows: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(len(head["ids"]), np.int64)
     for at, sums in zip(rows["at"], rows["sums"]):
         if at is not None:
-            total[np.frombuffer(at, "<u2")] += np.frombuffer(sums, "<u4")
+            at = np.frombuffer(at, "<u2")
+            total[at] += np.frombuffer(sums, f"<u{len(sums) // max(1, len(at))}")
     ids = pd.array([None if i is None or i != i else int(i) for i in head["ids"]], dtype="Int64")
     return pd.DataFrame({"id": ids, "n_bytes": np.asarray(head["n_bytes"], np.int64), "n_tokens": total})
 
@@ -201,16 +222,11 @@ def _total(rows: pd.DataFrame) -> pd.DataFrame:
 def token_counts(docs: DataFrame, vocabulary: str, limit: int, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``id, n_bytes, n_tokens, over_limit`` of every row.
 
-    Distinct pre-tokens are counted once each and joined to the per-document frequencies; what is summed are packed
-    arrays per block of documents, so a frequent pre-token has a row per block and not per document. Null and empty
+    Distinct pre-tokens are counted once each and joined to the per-document frequencies; what travels are packed
+    arrays per block of documents, so a frequent pre-token has an entry per block and document, and no row. Null and empty
     texts have no tokens; repeated rows are counted each; null ids stay null.
     """
-    postings = pre_token_postings(docs, vocabulary, id, text)
-    counts = piece_counts(docs, vocabulary, text)
-    joined = postings.join(counts, postings["word"] == counts["token"], "left")
-    joined = joined.select("block", "at", "times", "ids", "n_bytes", "pieces")
-    kind = "block long, at binary, sums binary, ids array<long>, n_bytes array<long>"
-    parts = joined.mapInArrow(_partial, kind)
+    parts = block_sums(pre_token_postings(docs, vocabulary, id, text), vocabulary)
     total = parts.groupBy("block").applyInPandas(_total, "id long, n_bytes long, n_tokens long")
     over = (F.col("n_tokens") > limit).alias("over_limit")
     return total.select(F.col("id").alias(id), "n_bytes", "n_tokens", over)
