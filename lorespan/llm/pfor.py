@@ -258,7 +258,9 @@ def read_ids(manifest: DataFrame, path: str, with_ids: bool = False) -> DataFram
         if block:
             yield made(block)
 
-    return manifest.repartition("shard").mapInArrow(run, kind)
+    # By number, so that the few rows of the manifest are not brought back together.
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.repartitionByRange(tasks, "shard").mapInArrow(run, kind)
 
 
 def op5_token_id_blocks(spark, root: str, vocabulary: str = "byte_bpe_50k.json", end_id: int = 2) -> DataFrame:

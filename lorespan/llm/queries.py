@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lorespan.llm import decontaminate, langid, packing, pfor, simhash, tokencount
+from lorespan.llm import caps, decontaminate, langid, packing, pfor, simhash, tokencount
 
 QUERIES = {
+    "op9_embedding_near_dedup": caps.op9_embedding_near_dedup,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     "op1_language_id": langid.op1_language_id,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
