@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lorespan.llm import caps, decontaminate, langid, packing, pfor, simhash, tokencount
+from lorespan.llm import caps, decontaminate, langid, packing, pfor, simhash, tokencount, warc
 
 QUERIES = {
+    "op6_warc_archive": warc.op6_warc_archive,
     "op9_embedding_near_dedup": caps.op9_embedding_near_dedup,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
     "op1_language_id": langid.op1_language_id,
@@ -14,4 +15,4 @@ QUERIES = {
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_warc_archive": warc.SQL}
