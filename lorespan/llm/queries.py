@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lorespan.llm import caps, decontaminate, langid, licenses, packing, pfor, simhash, tokencount, warc
+from lorespan.llm import caps, decontaminate, langid, licenses, lines, packing, pfor, simhash, tokencount, warc
 
 QUERIES = {
+    "op3_line_dedup": lines.op3_line_dedup,
     "op8_license_scan": licenses.op8_license_scan,
     "op6_warc_archive": warc.op6_warc_archive,
     "op9_embedding_near_dedup": caps.op9_embedding_near_dedup,
