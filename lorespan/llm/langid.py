@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from lorespan.llm.common import arrow_step, slices
 
-DIMENSIONS = 1024
+DIMENSIONS = 4096
 SEED = 7
 UNKNOWN = "und"
+#: Cosine below which a text is in none of the languages; vectors at random stay under it.
+MIN_SCORE = 0.04
 #: Languages that the profiles may have; more of them mean that the column does not hold languages.
 MAX_LANGUAGES = 1_000
 #: Trigram vectors that a worker remembers.
-REMEMBER = 60_000
+REMEMBER = 20_000
 
 
 class _Space:
@@ -91,9 +93,9 @@ class _Space:
         else:
             names, place = np.unique(tri, return_inverse=True)
         out = np.zeros((n, self.dimensions), np.float32)
-        for i in range(0, len(names), 16_384):  # many names only in writing systems of many signs
-            part = names[i : i + 16_384]
-            own = (place >= i) & (place < i + len(part)) if len(names) > 16_384 else slice(None)
+        for i in range(0, len(names), 8_192):  # many names only in writing systems of many signs
+            part = names[i : i + 8_192]
+            own = (place >= i) & (place < i + len(part)) if len(names) > 8_192 else slice(None)
             counts = np.bincount(owner[own] * len(part) + place[own] - i, minlength=n * len(part)).reshape(n, len(part))
             a, b, c = part // size**2, part // size % size, part % size
             out += counts.astype(np.float32) @ self.bound(letters[a], letters[b], letters[c])
@@ -134,6 +136,24 @@ def profiles(
     return {k: v / np.linalg.norm(v) for k, v in sorted(found.items()) if v.any()}
 
 
+def _nearest(known: dict[str, np.ndarray], dimensions: int, seed: int):
+    """A function from texts to predicted names and scores."""
+    names = [*known, UNKNOWN]
+    matrix = np.array([known[n] for n in names[:-1]], dtype=np.float32).reshape(-1, dimensions)
+
+    def nearest(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        if not len(matrix):
+            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        bundle = _space(dimensions, seed).bundles(texts, np.arange(len(texts)), len(texts))
+        norm = np.linalg.norm(bundle, axis=1)
+        cosine = bundle @ matrix.T / np.maximum(norm, 1e-9)[:, None]
+        best = np.where(norm > 0, cosine.argmax(axis=1), len(names) - 1)
+        score = np.where(norm > 0, np.clip(cosine.max(axis=1), 0, 1), 0).astype(np.float64)
+        return [names[b] for b in best], score
+
+    return nearest
+
+
 def predict(
     docs: DataFrame,
     known: dict[str, np.ndarray],
@@ -147,25 +167,27 @@ def predict(
     Null texts, texts without letters, and all texts if nothing is known: ``und`` and 0. A tie goes to the name that
     sorts first.
     """
-    names = [*known, UNKNOWN]
-    matrix = np.array([known[n] for n in names[:-1]], dtype=np.float32).reshape(-1, dimensions)
     kind = docs.schema[id].dataType.simpleString()
-
-    def step(batch: pa.RecordBatch, texts: list[str | None]) -> list:
-        bundle = _space(dimensions, seed).bundles(texts, np.arange(len(texts)), len(texts))
-        norm = np.linalg.norm(bundle, axis=1)
-        if not len(matrix):
-            return [batch.column("id"), [UNKNOWN] * len(texts), [0.0] * len(texts)]
-        cosine = bundle @ matrix.T / np.maximum(norm, 1e-9)[:, None]
-        best = np.where(norm > 0, cosine.argmax(axis=1), len(names) - 1)
-        score = np.where(norm > 0, np.clip(cosine.max(axis=1), 0, 1), 0).astype(np.float64)
-        return [batch.column("id"), [names[b] for b in best], score]
-
+    nearest = _nearest(known, dimensions, seed)
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("t"))
-    found = arrow_step(rows, "t", f"id {kind}, lang_pred string, score double", step)
+    found = arrow_step(rows, "t", f"id {kind}, lang_pred string, score double", lambda batch, t: [batch.column("id"), *nearest(t)])
     return found.withColumnRenamed("id", id)
 
 
+def in_known_language(
+    docs: DataFrame, known: dict[str, np.ndarray], min_score: float = MIN_SCORE, text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` whose text has a language: letters, and a prototype at a cosine of ``min_score`` at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nearest = _nearest(known, DIMENSIONS, SEED)
+        for batch, texts in slices(batches, text):
+            names, score = nearest(texts)
+            yield batch.filter(pa.array([n != UNKNOWN and s >= min_score for n, s in zip(names, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def is_held_out(id: str = "doc_id"):
     """Whether a document is kept from learning: crc32 of its id as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -168,6 +168,6 @@ def op7_simhash_near_dedup(spark, root: str) -> DataFrame:
 
 
 def first_of_each_group(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one document of each group stays."""
-    kept = near_duplicates(docs, id, text).where(F.col(id) == F.col("component_id")).select(F.col(id).alias("_kept"))
-    return docs.join(kept, F.col(id) == F.col("_kept"), "left_semi")
+    """``docs`` with one document of each group, the one with the smallest id; a row without an id stays."""
+    gone = near_duplicates(docs, id, text).where(F.col(id) != F.col("component_id")).select(F.col(id).alias("_gone"))
+    return docs.join(gone, F.col(id) == F.col("_gone"), "left_anti")
