@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType, DateType, TimestampNTZType, TimestampType
 
 from lorespan.operators.dedup import duplicate_rows
-from lorespan.operators.skew import exact_quantiles, join_on, magnitude_bucket, prefix_sums, side_by_side
+from lorespan.operators.skew import VALUE_BUCKET, exact_quantiles, join_on, prefix_sums, side_by_side, with_value_bucket
 
 
 def kinds(df: DataFrame) -> dict[str, str]:
@@ -129,46 +128,67 @@ def _correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.select(left.alias("left"), right.alias("right"), F.round("correlation", 6).alias("correlation"))
 
 
-def _rank_correlation(values: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace every column by its mean ranks, then Pearson of all pairs in one aggregate.
+def _mean_ranks(values: DataFrame, series: Sequence[str]) -> DataFrame:
+    """Mean rank of every value ``_v`` within its series, less the middle rank, which keeps later sums small."""
+    counts = values.groupBy(*series, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    cut = with_value_bucket(counts, "_v")
+    ranked = prefix_sums(cut, list(series), ["_v"], F.col(VALUE_BUCKET), {"_hi": F.col("_c")}, {"_all": "_hi"})
+    mean = F.col("_hi") - (F.col("_c") - 1) / 2 - (F.col("_all") + 1) / 2
+    return ranked.select(*series, "_v", mean.alias("_rank"))
 
-    Ranks belong to distinct values. A column of few values joins by broadcast once its size is known; for the others
-    the adaptive skew join splits a frequent value.
+
+def _rank_correlation(values: DataFrame, columns: Sequence[str], pairwise: bool) -> DataFrame:
+    """Pearson of mean ranks. Whatever the number of columns, ranks are made in one pass and joined back in another.
+
+    Values are taken as (series, row, value): a series is a column, or a side of a pair of columns. The adaptive skew
+    join splits a frequent value.
     """
-    for c in columns:
-        counts = values.groupBy(F.col(c).alias("_value")).agg(F.count(F.lit(1)).alias("_c"))
-        ranked = prefix_sums(counts, [], ["_value"], magnitude_bucket("_value"), {"_hi": F.col("_c")}, {"_all": "_hi"})
-        # The middle rank is taken off, which keeps the sums small.
-        mean = F.col("_hi") - (F.col("_c") - 1) / 2 - (F.col("_all") + 1) / 2
-        ranks = ranked.select("_value", mean.alias("_rank"))
-        values = values.join(ranks, F.col(c) == F.col("_value")).drop(c, "_value").withColumnRenamed("_rank", c)
-    return _correlations(values, columns)
+    present = lambda c: ~(F.col(c).isNull() | F.isnan(c))
+    rows = values.withColumn("_row", F.monotonically_increasing_id())
+    pairs = list(combinations(range(len(columns)), 2))
+    if pairwise:
+        sides = [
+            F.when(present(columns[a]) & present(columns[b]), F.struct(F.lit(i).alias("_pair"), F.lit(side).alias("_side"), F.col(columns[c]).alias("_v")))
+            for i, (a, b) in enumerate(pairs)
+            for side, c in ((0, a), (1, b))
+        ]
+        series = ["_pair", "_side"]
+    else:
+        for c in columns:
+            rows = rows.where(present(c))
+        sides = [F.struct(F.lit(i).alias("_side"), F.col(c).alias("_v")) for i, c in enumerate(columns)]
+        series = ["_side"]
+    long = rows.select("_row", F.explode(F.array_compact(F.array(*sides))).alias("_x")).select("_row", "_x.*")
+    ranked = long.join(_mean_ranks(long, series), [*series, "_v"])
+    side = lambda i: F.max(F.when(F.col("_side") == i, F.col("_rank"))).alias(f"{i}")
+    if not pairwise:
+        wide = ranked.groupBy("_row").agg(*[side(i) for i in range(len(columns))])
+        return _correlations(wide.select(*[F.col(f"{i}").alias(c) for i, c in enumerate(columns)]), columns)
+    both = ranked.groupBy("_row", "_pair").agg(side(0), side(1))
+    found = both.groupBy("_pair").agg(F.round(F.corr("0", "1"), 6).alias("correlation"))
+    names = values.sparkSession.createDataFrame(
+        [(i, columns[a], columns[b]) for i, (a, b) in enumerate(pairs)], "_pair int, left string, right string"
+    )
+    return names.join(found, "_pair", "left").select("left", "right", "correlation")
 
 
-def correlation(df: DataFrame, method: str = "pearson", columns: Sequence[str] | None = None) -> DataFrame:
+def correlation(
+    df: DataFrame, method: str = "pearson", columns: Sequence[str] | None = None, pairwise: bool = True
+) -> DataFrame:
     """Correlation of every pair of numeric columns.
 
-    Spearman is Pearson over mean ranks.
+    Spearman is Pearson over mean ranks. With ``pairwise``, ranks of a pair are taken over the rows where both are
+    present, which costs a pass over the values per pair; without, over the rows where all columns are.
     """
     columns = list(columns or numeric_columns(df))
     if not columns:
         raise ValueError("no numeric columns")
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     if method == "pearson":
-        return _correlations(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), columns)
+        return _correlations(values, columns)
     if method != "spearman":
         raise ValueError(f"unknown method: {method}")
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    holes = values.agg(*[F.count_if(F.col(c).isNull() | F.isnan(c)).alias(c) for c in columns]).first()
-    if not any(holes):
-        return _rank_correlation(values, columns)
-    # Ranks of a pair are taken over the rows where both are present.
-    return reduce(
-        DataFrame.unionByName,
-        [
-            _rank_correlation(values.select(a, b).where(f"not (`{a}` is null or `{b}` is null or isnan(`{a}`) or isnan(`{b}`))"), [a, b])
-            for a, b in combinations(columns, 2)
-        ],
-    )
+    return _rank_correlation(values, columns, pairwise)
 
 
 def summary(df: DataFrame) -> DataFrame:

@@ -24,10 +24,24 @@ def width_bucket(c: Column | str, width: int = 1024) -> Column:
     return F.floor(col(c) / width)
 
 
-def magnitude_bucket(c: Column | str, per_unit: int = 4096) -> Column:
-    """A bucket for any number that never decreases with it: ``per_unit`` buckets per factor of e, and for 0..1."""
+VALUE_BUCKET = "_value_bucket"
+
+
+def with_value_bucket(df: DataFrame, c: str, coarse: int = 32, fine: int = 32) -> DataFrame:
+    """Add ``_value_bucket``, which never decreases with the number ``c``; rows spread evenly over ``coarse * fine``.
+
+    Bounds are approximate percentiles of the column itself, taken by a scalar subquery of fixed size, so any range
+    of values is cut as finely as any other. Only the order of buckets matters for the callers, not their exact size.
+    """
+    n = coarse * fine
     v = col(c).cast("double")
-    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * per_unit)
+    steps = [k / n for k in range(1, n)]
+    cuts = F.struct(F.percentile_approx(v, steps[fine - 1 :: fine]).alias("c"), F.percentile_approx(v, steps).alias("f"))
+    bounds = F.col("_bounds")
+    below = lambda values: F.size(F.filter(values, lambda b: b < v))
+    first = below(bounds["c"])
+    bucket = first * (fine + 1) + below(F.slice(bounds["f"], first * fine + 1, fine))
+    return df.withColumn("_bounds", df.agg(cuts).scalar()).withColumn(VALUE_BUCKET, bucket).drop("_bounds")
 
 
 def _cells(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
@@ -154,7 +168,8 @@ def exact_quantiles(
         .groupBy(*keys, "_x")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    ranked = prefix_sums(counted, keys, ["_x"], magnitude_bucket("_x"), {"_hi": F.col("_c")}, {"_n": "_hi"})
+    cut = with_value_bucket(counted, "_x")
+    ranked = prefix_sums(cut, keys, ["_x"], F.col(VALUE_BUCKET), {"_hi": F.col("_c")}, {"_n": "_hi"})
     outs = []
     for p, name in zip(probabilities, names, strict=True):
         at = F.lit(float(p)) * (F.col("_n") - 1)

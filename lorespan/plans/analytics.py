@@ -1102,7 +1102,7 @@ def describe_customers(spark: SparkSession, root: str) -> DataFrame:
     return pr.describe(table(spark, root, "customer"))
 
 
-_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _CORR = lambda f, src: " union all ".join(
     f"select '{a}' as \"left\", '{b}' as \"right\", round({f(a, b)}, 6) as correlation from {src}"
     for i, a in enumerate(_NUM)
@@ -1126,7 +1126,27 @@ def correlation(spark: SparkSession, root: str) -> DataFrame:
     + _CORR(lambda a, b: f"corr({a}, {b})", "r"),
 )
 def correlation_ranks(spark: SparkSession, root: str) -> DataFrame:
-    return pr.correlation(table(spark, root, "lineitem"), "spearman", _NUM)
+    return pr.correlation(table(spark, root, "lineitem"), "spearman", _NUM, pairwise=False)
+
+
+_HOLES = "select nullif(l_quantity, 1) as q, l_tax as t, nullif(l_discount, 0) as d from lineitem"
+
+
+@query(
+    "correlation_ranks_pairwise",
+    319,
+    sql=f"with h as ({_HOLES}) "
+    + " union all ".join(
+        f"""select '{a}' as "left", '{b}' as "right", (select round(corr(x, y), 6) from (
+        select rank() over (order by {a}) + (count(*) over (partition by {a}) - 1) / 2 as x,
+        rank() over (order by {b}) + (count(*) over (partition by {b}) - 1) / 2 as y
+        from h where {a} is not null and {b} is not null)) as correlation"""
+        for a, b in (("q", "t"), ("q", "d"), ("t", "d"))
+    ),
+)
+def correlation_ranks_pairwise(spark: SparkSession, root: str) -> DataFrame:
+    table(spark, root, "lineitem").createOrReplaceTempView("_holes")
+    return pr.correlation(spark.sql(_HOLES.replace("lineitem", "_holes")), "spearman")
 
 
 @query("value_counts", 320, sql=f"with {_LI} select q as l_quantity, count(*) as count from li group by q")
@@ -1147,12 +1167,14 @@ def value_shares(spark: SparkSession, root: str) -> DataFrame:
 @query(
     "table_summary",
     321,
-    sql=f"""with {_LI}, d as (select count(*) as n from li group by q, l_returnflag, l_linestatus, l_linenumber)
-    select (select count(*) from li) as rows, 4 as columns, (select sum(n - 1)::bigint from d) as duplicate_rows,
-    (select count(*) from li where q is null) as null_rows, 2 as numeric_columns, 2 as categorical_columns""",
+    sql=f"""with {_LI}, r as (select * exclude (l_quantity) from li union all select * exclude (l_quantity) from li where l_returnflag = 'R')
+    select (select count(*) from r) as rows, 11 as columns, (select sum(n - 1)::bigint from (select count(*) as n from r group by {", ".join("q" if c == "l_quantity" else c for c in _LCOLS)})) as duplicate_rows,
+    (select count(*) from r where q is null) as null_rows, 8 as numeric_columns, 2 as categorical_columns""",
 )
 def table_summary(spark: SparkSession, root: str) -> DataFrame:
-    return pr.summary(items(spark, root).select("l_quantity", "l_returnflag", "l_linestatus", "l_linenumber"))
+    """Whole line items, of which the returned ones appear twice."""
+    rows = items(spark, root)
+    return pr.summary(rows.union(rows.where("l_returnflag = 'R'")))
 
 
 @query("unique_values", 30, sql=f"with {_LI} select distinct q as l_quantity from li where q is not null")

@@ -464,14 +464,15 @@ def equal_text_groups(spark: SparkSession, root: str) -> DataFrame:
 @query(
     "duplicate_rows",
     99,
-    sql="select coalesce(sum(n - 1), 0)::bigint as duplicate_rows, count(*) as unique_rows from "
-    "(select count(*) as n from lineitem group by l_linenumber, l_quantity, l_returnflag, l_linestatus)",
+    sql="with r as (select * from lineitem union all select * from lineitem where l_returnflag = 'R') "
+    "select sum(n - 1)::bigint as duplicate_rows, count(*) as unique_rows from "
+    "(select count(*) as n from r group by l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, "
+    "l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate)",
 )
 def duplicate_rows(spark: SparkSession, root: str) -> DataFrame:
-    items = table(spark, root, "lineitem").select(
-        "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"
-    )
-    return dedup.duplicate_rows(items)
+    """Whole line items, of which the returned ones appear twice."""
+    rows = table(spark, root, "lineitem")
+    return dedup.duplicate_rows(rows.union(rows.where("l_returnflag = 'R'")))
 
 
 @query("checksums", 10, sql="select doc_id, sha256(text) as sha256, md5(text) as md5, sha1(text) as sha1 from documents")
