@@ -25,15 +25,15 @@ def recent_messages(messages: DataFrame, n: int = 10) -> DataFrame:
     return first_rows(messages, [CONV], [F.desc(TURN)], n, "_rn").drop("_rn")
 
 
-def context_window(messages: DataFrame, max_tokens: int = 4000) -> DataFrame:
+def context_window(messages: DataFrame, max_tokens: int = 4000, least: int = 0) -> DataFrame:
     """The newest messages whose token estimates fit into the budget; the first that does not fit ends the window.
 
-    Estimates are not negative, so "stop at the first overflow" is "suffix sum within the budget".
+    Estimates are not negative, so "stop at the first overflow" is "suffix sum within the budget". Every message is
+    charged ``least`` tokens at least.
     """
-    summed = prefix_sums(
-        messages, [CONV], [TURN], width_bucket(TURN), {"_before": _tokens()}, {"_all": "_before"}
-    )
-    suffix = F.col("_all") - F.col("_before") + _tokens()
+    cost = F.greatest(_tokens(), F.lit(least))
+    summed = prefix_sums(messages, [CONV], [TURN], width_bucket(TURN), {"_before": cost}, {"_all": "_before"})
+    suffix = F.col("_all") - F.col("_before") + cost
     return (
         summed.withColumn("tokens", _tokens()).withColumn("window_tokens", suffix)
         .where(F.col("window_tokens") <= max_tokens)
@@ -55,8 +55,11 @@ def summarize(messages: DataFrame, n: int = 5, characters: int = 120) -> DataFra
 
 
 def prompt_memory(messages: DataFrame, max_tokens: int = 3000) -> DataFrame:
-    """Per conversation: the messages of the window (bounded by the budget), the summary, the tokens of all messages."""
-    window = context_window(messages, max_tokens)
+    """Per conversation: the messages of the window, the summary, the tokens of all messages.
+
+    An empty message is charged one token, so the budget also bounds the number of messages held.
+    """
+    window = context_window(messages, max_tokens, least=1)
     held = F.sort_array(F.collect_list(F.struct(TURN, "role", "text")))
     kept = window.groupBy(CONV).agg(
         F.transform(held, lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))).alias("messages")

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lorespan.functions import text as t
+from lorespan.operators.skew import VALUE_BUCKET, position, with_value_bucket
 
 # Phrases that mark an injected prompt; the e-mail pattern of user records.
 INJECTION_PHRASES = (
@@ -47,11 +48,28 @@ def select_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns)
 
 
+def _numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Add ``_pos``, the position (from 1) in an order that is total; no task holds more than a bucket of the order.
+
+    Buckets follow the first column: its number, or that of a text's first six bytes.
+    """
+    first = F.col(order[0])
+    kind = df.schema[order[0]].dataType.typeName()
+    if kind in ("string", "binary"):
+        number = F.conv(F.rpad(F.hex(F.substring(first.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    elif kind.startswith(("timestamp", "date")):
+        number = F.unix_micros(first.cast("timestamp")).cast("double")
+    else:
+        number = first.cast("double")
+    cut = with_value_bucket(df.withColumn("_number", number), "_number").drop("_number")
+    return position(cut, [], order, F.col(VALUE_BUCKET), "_pos").drop(VALUE_BUCKET)
+
+
 def row_at(df: DataFrame, order: Sequence[str], index: int) -> DataFrame:
-    """The row at an ordinal (from 0) of the order: a distributed top-(index+1), not a window over everything."""
+    """The row at an ordinal (from 0) of the order."""
     if index < 0:
         raise ValueError("index must not be negative")
-    return df.orderBy(*order).offset(index).limit(1)
+    return _numbered(df, order).where(F.col("_pos") == index + 1).drop("_pos")
 
 
 def filter_rows(df: DataFrame, column: str, value: object) -> DataFrame:
@@ -88,9 +106,11 @@ def injection_report(df: DataFrame, by: Sequence[str], text: str = "text") -> Da
 
 
 def page(df: DataFrame, order: Sequence[str], number: int = 1, size: int = 25) -> DataFrame:
+    """A page of the order, however far behind; its rows come in no particular order."""
     if number < 1 or size < 1:
         raise ValueError("page and size start at 1")
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+    start = (number - 1) * size
+    return _numbered(df, order).where((F.col("_pos") > start) & (F.col("_pos") <= start + size)).drop("_pos")
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -3,10 +3,10 @@
 Scores are computed block by block as matrix products inside the tasks, and every block gives back only its best k
 rows per query (or its hits above the radius), so all pairs are scored but never emitted or joined.
 
-* Few queries (at most ``BROADCAST_ROWS`` rows and ``BROADCAST_BYTES``; both are counted first): the query matrix is
-  broadcast and the corpus is scanned where it lies, without a shuffle. Each task keeps a running top k.
-  Such hits have a proven bound, and joins of the hits with the corpus broadcast them.
-* More queries: both sides are cut into blocks by a hash of their id. Every pair of blocks meets in one cogrouped
+* ``plan="broadcast"`` (the default): the query matrix is broadcast and the corpus is scanned where it lies, without a
+  shuffle. Each task keeps a running top k. The query side is measured before it is collected; more than
+  ``BROADCAST_ROWS`` rows, ``BROADCAST_BYTES`` bytes or ``BROADCAST_HITS`` hits are an error, not a change of plan.
+* ``plan="blocks"``: both sides are cut into blocks by a hash of their id. Every pair of blocks meets in one cogrouped
   task; a block has a bounded number of rows, whatever the data looks like.
 
 Scores are rounded to nine places before ranking, so that ties do not depend on the order of summation; ties go to
@@ -162,6 +162,16 @@ def _side(df: DataFrame, id_col: str, vector: str, words: bool) -> DataFrame:
     return df.select(*cols)
 
 
+def _fits(queries: DataFrame, k: int | None, vector: str) -> None:
+    """Raise if the scored columns of the queries, or the hits that they can have, are too large to broadcast."""
+    size = F.coalesce(F.size(vector), F.lit(0)) * 8
+    if "_words" in queries.columns:
+        size += F.coalesce(F.size("_words"), F.lit(0)) * 8
+    rows, size = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(size + 64), F.lit(0))).first()
+    if rows > BROADCAST_ROWS or size > BROADCAST_BYTES or rows * (k or 0) > BROADCAST_HITS:
+        raise ValueError(f"{rows} queries of {size} bytes are too many to broadcast: use plan='blocks'")
+
+
 def _search(
     queries: DataFrame,
     corpus: DataFrame,
@@ -175,12 +185,13 @@ def _search(
     corpus_id: str = "vec_id",
     corpus_vector: str = "embedding",
     exclude_self: bool = False,
-    broadcast_rows: int = BROADCAST_ROWS,
+    plan: str = "broadcast",
     block_rows: int | None = None,
-) -> tuple[DataFrame, bool]:
-    """The hits, and whether they are few enough to be broadcast (a bound on queries times k)."""
+) -> DataFrame:
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
+    if plan not in ("broadcast", "blocks"):
+        raise ValueError(f"unknown plan: {plan}")
     if k is None and min_score is None:
         raise ValueError("give k or min_score")
     if k is not None and k <= 0:
@@ -195,21 +206,18 @@ def _search(
             StructField("score", DoubleType()),
         ]
     )
-    # One row more than may be broadcast proves that the side is too large.
-    head = q.limit(broadcast_rows + 1).toArrow()
-    small = head.num_rows <= broadcast_rows and head.nbytes <= BROADCAST_BYTES
-    if small:
-        hits = _search_broadcast(_Side(head, query_id, query_vector), c, out, args, corpus_id, corpus_vector)
+    if plan == "broadcast":
+        _fits(q, k, query_vector)
+        hits = _search_broadcast(_Side(q.toArrow(), query_id, query_vector), c, out, args, corpus_id, corpus_vector)
     else:
         # Copies sent are rows times blocks of the other side, so blocks are as large as a task can comfortably hold.
-        width = max([len(x) for x in head.slice(0, 1).column(query_vector).to_pylist() if x], default=64)
-        block_rows = block_rows or max(1024, BLOCK_BYTES // (8 * width))
+        width = q.agg(F.coalesce(F.max(F.size(query_vector)), F.lit(64))).first()[0]
+        block_rows = block_rows or max(1024, BLOCK_BYTES // (8 * max(1, width)))
         hits = _search_blocks(q, c, out, args, query_id, query_vector, corpus_id, corpus_vector, block_rows)
     if k is not None:
         hits = first_rows(hits, ["_q"], [F.desc("score"), F.col("_c")], k, "rank")
     named = [F.col("_q").alias(query_id), F.col("_c").alias(corpus_id), "score"]
-    hits = hits.select(*named, *([F.col("rank").cast("long").alias("rank")] if k is not None else []))
-    return hits, bool(small and k is not None and head.num_rows * k <= BROADCAST_HITS)
+    return hits.select(*named, *([F.col("rank").cast("long").alias("rank")] if k is not None else []))
 
 
 def search(queries: DataFrame, corpus: DataFrame, k: int | None = 5, **opts) -> DataFrame:
@@ -220,7 +228,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int | None = 5, **opts) ->
     ``corpus_id``, ``corpus_vector``. Filters on metadata belong on ``corpus`` before the call, where they reach the
     scan.
     """
-    return _search(queries, corpus, k, **opts)[0]
+    return _search(queries, corpus, k, **opts)
 
 
 def _table(rows, ids, scores, qids, schema: pa.Schema) -> pa.RecordBatch:
@@ -335,9 +343,12 @@ def keyword_overlap(query_text: Column, document_text: Column) -> Column:
     )
 
 
-def _with_columns_of(hits: DataFrame, bounded: bool, corpus: DataFrame, corpus_id: str) -> DataFrame:
-    """Join the hits back to the corpus. Bounded hits are broadcast, so the corpus is not shuffled for them."""
-    return corpus.join(F.broadcast(hits) if bounded else hits, corpus_id)
+def _with_columns_of(hits: DataFrame, opts: dict, corpus: DataFrame, corpus_id: str) -> DataFrame:
+    """Join the hits (ids, score and rank alone) back to the corpus.
+
+    Under the broadcast plan their number has been checked, and the corpus is not shuffled for them.
+    """
+    return corpus.join(F.broadcast(hits) if opts.get("plan", "broadcast") == "broadcast" else hits, corpus_id)
 
 
 def hybrid_search(queries: DataFrame, corpus: DataFrame, k: int = 5, alpha: float = 0.5, **opts) -> DataFrame:
@@ -366,8 +377,8 @@ def mmr_search(
     """
     from lorespan.operators.vectors import cosine_similarity
 
-    hits, bounded = _search(queries, corpus, fetch_k, query_id=query_id, corpus_id=corpus_id, **opts)
-    candidates = _with_columns_of(hits, bounded, corpus.select(corpus_id, F.col(vector).alias("_v")), corpus_id)
+    hits = _search(queries, corpus, fetch_k, query_id=query_id, corpus_id=corpus_id, **opts)
+    candidates = _with_columns_of(hits, opts, corpus.select(corpus_id, F.col(vector).alias("_v")), corpus_id)
     rows = candidates.groupBy(query_id).agg(
         F.sort_array(F.collect_list(F.struct("rank", F.col(corpus_id).alias("id"), "score", "_v"))).alias("cs")
     )
@@ -447,11 +458,9 @@ def retrieve(
     **opts,
 ) -> DataFrame:
     """Fetch 4·k, drop weak hits, drop repeated ones, rerank, keep k. Both tables carry ``text`` and ``embedding``."""
-    hits, bounded = _search(queries, corpus, 4 * k, query_id=query_id, corpus_id=corpus_id, **opts)
-    hits = filter_results(hits, minimum_score).join(
-        queries.select(query_id, F.col("text").alias("query_text")), query_id
-    )
-    full = _with_columns_of(hits, bounded, corpus.drop("embedding"), corpus_id)
+    hits = _search(queries, corpus, 4 * k, query_id=query_id, corpus_id=corpus_id, **opts)
+    full = _with_columns_of(filter_results(hits, minimum_score), opts, corpus.drop("embedding"), corpus_id)
+    full = full.join(queries.select(query_id, F.col("text").alias("query_text")), query_id)
     return rerank(dedup.dedupe_hits(full, query_id), k, scorer, query_id=query_id, corpus_id=corpus_id)
 
 

@@ -581,7 +581,7 @@ def usage_calendar(spark: SparkSession, root: str) -> DataFrame:
 )
 def merge_periods(spark: SparkSession, root: str) -> DataFrame:
     u = usage(spark, root)
-    halves = [us.between(u, "2024-01-01", "2024-01-16"), us.between(u, "2024-01-16", "2024-02-01")]
+    halves = [us.between(u, "0001-01-01", "2024-01-16"), us.between(u, "2024-01-16", "9999-12-31")]
     return us.merge_counters(*[us.period_counters(h, "daily").drop("period") for h in halves])
 
 

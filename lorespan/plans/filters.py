@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lorespan.functions import text as t
 from lorespan.operators import metricstore as ms, predicates as p, profile as pr
-from lorespan.operators.skew import width_bucket
 from lorespan.plans import sqltext as q
 from lorespan.plans.analytics import samples
 from lorespan.plans.registry import query
@@ -165,22 +164,29 @@ def export_markdown(spark: SparkSession, root: str) -> DataFrame:
     15,
     sql="""select conv_id, turn, '<div class="' || role || '">' || chr(10) || '<h3>' || upper(role[1:1]) || lower(role[2:])
     || '</h3>' || chr(10) || '<p>' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>',
-    '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</p>' || chr(10) || '</div>' as block from conversations""",
+    '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</p>' || chr(10) || '</div>' as block from conversations
+    union all select distinct conv_id, -1, '<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<head>' || chr(10)
+    || '<meta charset="UTF-8">' || chr(10) || '<title>Conversation Export</title>' || chr(10) || '</head>' || chr(10)
+    || '<body>' || chr(10) || '<h1>Conversation Export</h1>' || chr(10) || '<p><b>Conversation ID:</b> ' || conv_id
+    || '</p>' || chr(10) || '<hr>' from conversations
+    union all select distinct conv_id, 4611686018427387904, '</body>' || chr(10) || '</html>' from conversations""",
 )
 def export_html(spark: SparkSession, root: str) -> DataFrame:
-    return ex.html_blocks(table(spark, root, "conversations")).where("turn >= 0 and turn < 4611686018427387904")
+    return ex.html_blocks(table(spark, root, "conversations"))
 
 
-@query("export_documents", 14, sql="select conv_id, count(*) + 1 as blocks from conversations group by conv_id")
+@query(
+    "export_documents",
+    14,
+    sql="""select conv_id, turn, '## ' || upper(role[1:1]) || lower(role[2:]) || chr(10) || chr(10) || text || chr(10)
+    as block from conversations union all select distinct conv_id, -1, '# Conversation Export' || chr(10) || chr(10)
+    || '**Conversation ID:** ' || conv_id || chr(10) || chr(10) || '---' || chr(10) from conversations""",
+)
 def export_documents(spark: SparkSession, root: str) -> DataFrame:
-    """Write one folder per conversation and count the blocks read back from it."""
+    """Write the documents of all conversations and read their blocks back."""
     path = scratch_path(spark, "markdown")
     ex.write_documents(ex.markdown_blocks(table(spark, root, "conversations")), path)
-    heads = "(?m)^(?:## (?:User|Assistant|System)$|# Conversation Export$)"
-    back = spark.read.text(path, wholetext=True)
-    return back.groupBy("conv_id").agg(F.sum(F.regexp_count("value", F.lit(heads))).cast("long").alias("blocks")).select(
-        F.col("conv_id").cast("long").alias("conv_id"), "blocks"
-    )
+    return spark.read.schema("conv_id long, turn long, block string").json(path)
 
 
 @query("export_search_results", 16, sql=f"{_RETRIEVE} select query_id, n as rank, vec_id, source, page, text from hits")
@@ -193,23 +199,15 @@ def export_search_results(spark: SparkSession, root: str) -> DataFrame:
 @query(
     "export_nested",
     17,
-    sql="""with c as (select conv_id, count(*) as n from conversations group by conv_id), m as (select conv_id,
-    list({'turn': turn, 'role': role} order by turn) as ms from conversations group by conv_id)
-    select conv_id, n, len(ms) as held, ms[1].role as first_role, ms[-1].turn as last_turn from c join m using (conv_id)""",
+    sql="""select conv_id, count(*) over (partition by conv_id) as n, turn, role from conversations""",
 )
 def export_nested(spark: SparkSession, root: str) -> DataFrame:
     m = table(spark, root, "conversations").select("conv_id", "turn", "role")
     parents = m.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
     path = scratch_path(spark, "nested")
-    ex.write_json(ex.nested(parents, m, "conv_id", "turn", width_bucket("turn")), path)
-    kind = "conv_id long, n long, part long, messages array<struct<turn:long,role:string>>"
-    return spark.read.schema(kind).json(path).select(
-        "conv_id",
-        "n",
-        F.size("messages").cast("long").alias("held"),
-        F.col("messages")[0]["role"].alias("first_role"),
-        F.element_at("messages", -1)["turn"].alias("last_turn"),
-    )
+    ex.write_json(ex.nested(parents, m, "conv_id", "turn"), path)
+    kind = "conv_id long, n long, message struct<turn:long,role:string>"
+    return spark.read.schema(kind).json(path).select("conv_id", "n", "message.turn", "message.role")
 
 
 @query("save_embeddings", 18, sql="select vec_id, embedding from embeddings")

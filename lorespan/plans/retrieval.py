@@ -58,7 +58,7 @@ def search_threshold(spark: SparkSession, root: str) -> DataFrame:
 def search_blocks(spark: SparkSession, root: str) -> DataFrame:
     """The path for query sides too large to broadcast."""
     queries, corpus = _vectors(spark, root)
-    return _shown(r.search(queries, corpus, 10, exclude_self=True, broadcast_rows=0, block_rows=200))
+    return _shown(r.search(queries, corpus, 10, exclude_self=True, plan="blocks", block_rows=200))
 
 
 @query(
@@ -202,12 +202,12 @@ def _mmr_sql() -> str:
     """Five greedy picks, written out as one step per pick."""
     parts = [
         f"""with {_PAIRS}, s as (select query_id, vec_id, cv, round({_COS}, 9) as score from p),
-        c as (select * from (select *, row_number() over (partition by query_id order by score desc, vec_id) as r
-        from s) where r <= 20), p1 as (select query_id, r, 1 as rank from c where r = 1)"""
+        c as materialized (select * from (select *, row_number() over (partition by query_id order by score desc, vec_id) as r
+        from s) where r <= 20), p1 as materialized (select query_id, r, 1 as rank from c where r = 1)"""
     ]
     for n in range(2, 6):
         parts.append(
-            f"""p{n} as (select * from p{n - 1} union all select query_id, arg_min(r, (-gain, r)) as r, {n} as rank
+            f"""p{n} as materialized (select * from p{n - 1} union all select query_id, arg_min(r, (-gain, r)) as r, {n} as rank
             from (select x.query_id, x.r, round(0.5 * any_value(x.score)
             - 0.5 * max(list_cosine_similarity(x.cv, y.cv)), 9) as gain
             from c x join p{n - 1} k on k.query_id = x.query_id join c y on y.query_id = k.query_id and y.r = k.r

@@ -90,8 +90,7 @@ def stream_sessions(spark: SparkSession, root: str) -> DataFrame:
     "stream_idle_expiry",
     289,
     288,
-    sql=f"""with {_SESSIONS} select user_id, last as last_activity, events from s where "end" <= {_CLOSED}
-    or exists (select 1 from s later where later.user_id = s.user_id and later.start > s.start)""",
+    sql=f"""with {_SESSIONS} select user_id, last as last_activity, events from s where "end" <= {_CLOSED}""",
 )
 def stream_idle_expiry(spark: SparkSession, root: str) -> DataFrame:
     return f.collect_available(f.idle_expiry(stream(spark, root)), "append")

@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lorespan.operators.skew import position
-
 # The escapes of HTML text, in order.
 HTML_ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))
 
@@ -58,34 +56,24 @@ def html_blocks(messages: DataFrame, conv: str = "conv_id", turn: str = "turn")
 
 
 def write_documents(blocks: DataFrame, path: str, conv: str = "conv_id", turn: str = "turn", mode: str = "errorifexists") -> None:
-    """One folder per conversation; its part files in name order are the document.
+    """Files of whole ranges of blocks, with the conversation as a column: part files in name order, and rows in file
+    order, are the documents one after another.
 
-    Range partitioning cuts a very long conversation into several files instead of sending it to one task.
+    Range partitioning cuts a very long conversation into several files instead of sending it to one task, and many
+    short ones share a file.
     """
-    ordered = blocks.repartitionByRange(F.col(conv), F.col(turn)).sortWithinPartitions(conv, turn)
-    ordered.select(conv, F.col("block").alias("value")).write.mode(mode).partitionBy(conv).text(path)
-
-
-def nested(
-    parents: DataFrame,
-    children: DataFrame,
-    key: str,
-    order: str,
-    bucket: Column,
-    name: str = "messages",
-    part_rows: int = 10_000,
-) -> DataFrame:
-    """Parents as objects that hold their children in order.
-
-    A record holds at most ``part_rows`` children; a larger parent continues in records ``part`` 1, 2, ..., so that no
-    task ever collects a parent of unbounded size. ``bucket`` must not decrease along ``order``.
+    blocks.repartitionByRange(F.col(conv), F.col(turn)).sortWithinPartitions(conv, turn).write.mode(mode).json(path)
+
+
+def nested(parents: DataFrame, children: DataFrame, key: str, order: str, name: str = "message") -> DataFrame:
+    """Parents with their children, one flat record per child in ``name``, ordered by key and ``order``.
+
+    A record has the same shape for a parent of any size; a parent without children has one record without a child.
     """
-    fields = [c for c in children.columns if c not in (key, order)]
-    numbered = position(children, [key], [order], bucket, "_pos").withColumn(
-        "part", F.floor((F.col("_pos") - 1) / part_rows)
-    )
-    held = numbered.groupBy(key, "part").agg(F.sort_array(F.collect_list(F.struct(order, *fields))).alias(name))
-    return parents.join(held, key, "left").withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
+    fields = [c for c in children.columns if c != key]
+    held = children.select(key, F.struct(*fields).alias(name))
+    joined = parents.join(held, key, "left")
+    return joined.repartitionByRange(F.col(key), F.col(name)[order]).sortWithinPartitions(key, F.col(name)[order])
 
 
 def as_json(df: DataFrame, keys: Sequence[str], name: str = "json") -> DataFrame:
@@ -111,5 +99,5 @@ def import_collection(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def write_exposition(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """The text exposition of the metrics; its size is that of the list of metric names, so it is one file."""
-    lines.orderBy("section", "name", "n").select(F.col("line").alias("value")).coalesce(1).write.mode(mode).text(path)
+    """The text exposition of the metrics: part files in name order, as many names as there may be."""
+    lines.orderBy("section", "name", "n").select(F.col("line").alias("value")).write.mode(mode).text(path)

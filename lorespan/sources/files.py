@@ -114,9 +114,10 @@ def list_files(spark: SparkSession, path: str, recursive: bool = False) -> DataF
 def file_facts(
     spark: SparkSession, path: str, recursive: bool = False, algorithm: str = "sha256", max_bytes: int = MAX_BYTES
 ) -> DataFrame:
-    """File facts with MIME type and checksum of the bytes.
+    """Facts of every file with MIME type and checksum of the bytes.
 
-    The size limit is a filter on ``length``, which the source applies before it opens a file.
+    Files over the limit have no checksum but a ``skip_reason``: their branch does not ask for the content, and filters
+    on ``length`` are applied by the source before it opens a file.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
     digest = {"sha256": lambda c: F.sha2(c, 256), "sha512": lambda c: F.sha2(c, 512), "sha1": F.sha1, "md5": F.md5}
@@ -126,15 +127,22 @@ def file_facts(
     mime = F.lit("application/octet-stream")
     for name, value in MIME_TYPES.items():
         mime = F.when(ext == name, value).otherwise(mime)
-    return files.where(F.col("length") <= max_bytes).select(
-        "path",
-        file_name(F.col("path")).alias("file_name"),
-        ext.alias("extension"),
-        mime.alias("mime_type"),
-        F.col("length").alias("size"),
-        digest[algorithm](F.col("content")).alias("checksum"),
-        F.col("modificationTime").alias("modified_at"),
-    )
+
+    def facts(rows: DataFrame, checksum: Column, reason: Column) -> DataFrame:
+        return rows.select(
+            "path",
+            file_name(F.col("path")).alias("file_name"),
+            ext.alias("extension"),
+            mime.alias("mime_type"),
+            F.col("length").alias("size"),
+            checksum.alias("checksum"),
+            reason.alias("skip_reason"),
+            F.col("modificationTime").alias("modified_at"),
+        )
+
+    none = F.lit(None).cast("string")
+    read = facts(files.where(F.col("length") <= max_bytes), digest[algorithm](F.col("content")), none)
+    return read.union(facts(files.where(F.col("length") > max_bytes), none, F.lit("File exceeds maximum size.")))
 
 
 def validate_files(files: DataFrame, extensions: tuple[str, ...] = EXTENSIONS, max_bytes: int = MAX_BYTES) -> DataFrame:

@@ -7,16 +7,8 @@ from pyspark.sql.types import StructField, StructType, TimestampNTZType, Timesta
 
 # Tables whose rows are worth seconds of work per megabyte.
 HEAVY = ("documents", "pages")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores where the input is cut into fewer splits than there are cores.
-
-    A table of one small file is read by one task, and row-local text work would stay in that task. Large tables
-    have more splits than cores and come back unchanged: nothing is shuffled for them.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+# Session setting: partitions that heavy tables are dealt to after the scan. Unset, they stay as they were read.
+READ_PARTITIONS = "spark.lorespan.readPartitions"
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -27,8 +19,9 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """
     path = f"{root.rstrip('/')}/{name}.parquet"
     df = spark.read.parquet(path)
-    if name in HEAVY:
-        return spread(df)
+    dealt = spark.conf.get(READ_PARTITIONS, None)
+    if name in HEAVY and dealt:
+        return df.repartition(int(dealt))
     if name != "events":
         return df
     fields = [

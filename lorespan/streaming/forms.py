@@ -8,11 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lorespan.session import scratch_path
@@ -96,43 +93,14 @@ def user_sessions(events: DataFrame, gap: str = "6 hours", delay: str = "1 hour"
     )
 
 
-_EXPIRED = "user_id long, last_activity timestamp, events long"
-_LAST = "last long, events long"
-
-
-def idle_expiry(events: DataFrame, gap_ms: int = 6 * 3600 * 1000, delay: str = "1 hour") -> DataFrame:
-    """A row when a user has been idle for longer than the gap, driven by event-time timers.
-
-    The state per user is two numbers; rows of a batch are reduced with pandas inside the task.
-    """
-
-    def expire(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def closed(last: int, n: int) -> pd.DataFrame:
-            return pd.DataFrame({"user_id": [key[0]], "last_activity": [pd.Timestamp(last, unit="us")], "events": [n]})
-
-        if state.hasTimedOut:
-            last, n = state.get
-            state.remove()
-            yield closed(last, n)
-            return
-        last, n = state.get if state.exists else (None, 0)
-        times = sorted(t.value // 1000 for pdf in batches for t in pdf["ts"])
-        done = []
-        for at in times:
-            if last is not None and at > last + gap_ms * 1000:
-                done.append(closed(last, n))
-                n = 0
-            last, n = at if last is None else max(last, at), n + 1
-        if last is not None:
-            state.update((last, n))
-            state.setTimeoutTimestamp(max(last // 1000 + gap_ms, state.getCurrentWatermarkMs() + 1))
-        yield from done
-
+def idle_expiry(events: DataFrame, gap: str = "6 hours", delay: str = "1 hour") -> DataFrame:
+    """A row when a user has been idle for longer than the gap: a session window ends the gap after its last event."""
+    last = F.col("session_window.end") - F.expr(f"interval {gap}")
     return (
-        events.select("user_id", "ts")
-        .withWatermark("ts", delay)
-        .groupBy("user_id")
-        .applyInPandasWithState(expire, _EXPIRED, _LAST, "append", GroupStateTimeout.EventTimeTimeout)
+        events.withWatermark("ts", delay)
+        .groupBy("user_id", F.session_window("ts", gap))
+        .agg(F.count(F.lit(1)).alias("events"))
+        .select("user_id", last.alias("last_activity"), "events")
     )
 
 
@@ -160,21 +128,20 @@ def deduplicated(events: DataFrame, key: str = "event_id", delay: str = "1 hour"
 
 
 @contextmanager
-def _state_partitions(spark: SparkSession) -> Iterator[None]:
-    """A local session needs no more state partitions than it has cores; a cluster keeps its setting."""
+def _state_partitions(spark: SparkSession, number: int | None) -> Iterator[None]:
+    """State partitions of a query, fixed when it first starts; the shuffle partitions of the session if not given."""
     name = "spark.sql.shuffle.partitions"
     before = spark.conf.get(name)
-    if spark.sparkContext.master.startswith("local"):
-        spark.conf.set(name, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    spark.conf.set(name, str(number or before))
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
-def run_append(form: DataFrame, path: str, checkpoint: str) -> None:
+def run_append(form: DataFrame, path: str, checkpoint: str, state_partitions: int | None = None) -> None:
     """Exactly-once append to Parquet of everything that has arrived."""
-    with _state_partitions(form.sparkSession):
+    with _state_partitions(form.sparkSession, state_partitions):
         q = (
             form.writeStream.format("parquet")
             .outputMode("append")
@@ -186,13 +153,13 @@ def run_append(form: DataFrame, path: str, checkpoint: str) -> None:
         q.awaitTermination()
 
 
-def run_update(form: DataFrame, path: str, checkpoint: str) -> None:
+def run_update(form: DataFrame, path: str, checkpoint: str, state_partitions: int | None = None) -> None:
     """Update mode: every batch replaces its own folder, so a repeated batch leaves no second copy."""
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/part={number}")
 
-    with _state_partitions(form.sparkSession):
+    with _state_partitions(form.sparkSession, state_partitions):
         q = (
             form.writeStream.outputMode("update")
             .foreachBatch(keep)
@@ -203,14 +170,16 @@ def run_update(form: DataFrame, path: str, checkpoint: str) -> None:
         q.awaitTermination()
 
 
-def collect_available(form: DataFrame, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
+def collect_available(
+    form: DataFrame, mode: str, keys: tuple[str, ...] = (), state_partitions: int | None = 8
+) -> DataFrame:
     """Drive a form over what has arrived and read the result; in update mode the newest row per key."""
     spark = form.sparkSession
     path, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "checkpoint")
     if mode == "append":
-        run_append(form, path, checkpoint)
+        run_append(form, path, checkpoint, state_partitions)
         return spark.read.schema(form.schema).parquet(path)
-    run_update(form, path, checkpoint)
+    run_update(form, path, checkpoint, state_partitions)
     rows = spark.read.schema(StructType([*form.schema.fields, StructField("_batch", IntegerType())])).parquet(path)
     rest = [c for c in form.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_s")).select(*keys, "_s.*")
