@@ -92,12 +92,8 @@ def write_archive(
     ]
     headers = known.select("page_id", F.when(response, F.col("key")).alias("key"), F.concat(*shared).cast("binary").alias("header"))
     headers.write.parquet(f"{path}/headers")
-    # One payload per key, and no shuffle of the copies' bytes: the holder's row is found by its id and key first.
-    # A key without a holder, and small payloads, come from the least row hash.
-    chosen = facts.groupBy("key").agg(F.max(F.struct("page_id", "row")).alias("at")).select("key", "at.page_id", "at.row")
-    found = rows.withColumn("key", F.sha2("body", 256)).withColumn("row", F.xxhash64("page_id", "url"))
-    on = [found["key"] == chosen["key"], found["page_id"].eqNullSafe(chosen["page_id"]), found["row"] == chosen["row"]]
-    once = found.join(chosen, on, "left_semi").select("key", "body").dropDuplicates(["key"])
+    # Copies of a payload are equal, so any of them will do; each task hands on one per key.
+    once = rows.select(F.sha2("body", 256).alias("key"), "body").groupBy("key").agg(F.first("body").alias("body"))
     once.write.parquet(f"{path}/payloads")
 
 
