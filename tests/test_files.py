@@ -48,7 +48,9 @@ def test_file_facts(spark, folder):
     assert set(facts) == {"a.txt", "b.md", "c.csv", "d.json", "e.bin"}
     assert facts["e.bin"]["checksum"] == hashlib.sha256(b"\x00\x01").hexdigest()
     assert facts["e.bin"]["mime_type"] == "application/octet-stream" and facts["b.md"]["mime_type"] == "text/markdown"
-    assert {r["file_name"] for r in fi.file_facts(spark, str(folder), max_bytes=2).collect()} == {"e.bin"}
+    small = {r["file_name"]: (r["checksum"], r["skip_reason"]) for r in fi.file_facts(spark, str(folder), max_bytes=2).collect()}
+    assert set(small) == set(facts) and small["e.bin"] == (facts["e.bin"]["checksum"], None)
+    assert small["a.txt"] == (None, "File exceeds maximum size.")
     assert fi.list_files(spark, str(folder), recursive=True).count() == 6
     reasons = {r["file_name"]: r["reject_reason"] for r in fi.validate_files(fi.list_files(spark, str(folder)), max_bytes=10).collect()}
     assert reasons["b.md"] is None and reasons["e.bin"] == "Unsupported file type: .bin" and reasons["a.txt"] == "File exceeds maximum size."
@@ -62,7 +64,9 @@ def test_exports(spark, tmp_path):
     back = fi.read_csv(spark, str(tmp_path / "csv"), schema="conv_id long, turn long, role string, text string")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, m.collect()))
     ex.write_documents(ex.markdown_blocks(m), str(tmp_path / "md"))
-    text = "".join(f.read_text() for f in sorted((tmp_path / "md" / "conv_id=1").glob("part-*")))
+    rows = [json.loads(x) for f in sorted((tmp_path / "md").glob("part-*")) for x in f.read_text().splitlines()]
+    assert [r["conv_id"] for r in rows] == [1, 1, 1, 2, 2]
+    text = "".join(r["block"] + "\n" for r in rows if r["conv_id"] == 1)
     assert text == "# Conversation Export\n\n**Conversation ID:** 1\n\n---\n\n## User\n\na <b>\n\"q\", 'r' & s\n\n## Assistant\n\nok\n\n"
     html = [r["block"] for r in ex.html_blocks(m).where("conv_id = 1").orderBy("turn").collect()]
     assert "a &lt;b&gt;\n&quot;q&quot;, &#x27;r&#x27; &amp; s" in html[1] and html[-1].endswith("</html>") and len(html) == 4

@@ -60,16 +60,42 @@ def test_recent_and_summary(messages, chats):
     assert {r["conv_id"]: r["summary"] for r in conv.summarize(messages).collect()} == summary
 
 
-def test_nested_records_are_bounded_and_whole(messages, chats):
+def test_nested_records_are_flat_and_whole(messages, chats):
     parents = messages.select("conv_id").distinct()
-    got = ex.nested(parents, messages, "conv_id", "turn", skew.width_bucket("turn"), part_rows=500).collect()
-    assert max(len(r["messages"]) for r in got) == 500
+    got = ex.nested(parents, messages, "conv_id", "turn").collect()
     joined = {}
-    for r in sorted(got, key=lambda r: (r["conv_id"], r["part"])):
-        joined.setdefault(r["conv_id"], []).extend((m["turn"], m["role"], m["text"]) for m in r["messages"])
+    for r in got:
+        joined.setdefault(r["conv_id"], []).append((r["message"]["turn"], r["message"]["role"], r["message"]["text"]))
     assert joined == by_conversation(chats)
 
 
+def test_far_pages_and_rows(spark):
+    from lorespan.operators import predicates
+
+    df = spark.range(100_000).select(F.col("id"), F.concat(F.lit("key"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("s"))
+    for order in (["id"], ["s"]):
+        assert predicates.row_at(df, order, 77_777).first()["id"] == 77_777
+        assert sorted(r["id"] for r in predicates.page(df, order, 3_001, 25).collect()) == list(range(75_000, 75_025))
+        plan = predicates.page(df, order, 3_001, 25)._jdf.queryExecution().executedPlan().toString()
+        assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
+
+
+def test_empty_turns_do_not_fill_a_prompt(spark):
+    from lorespan.operators import conversation
+
+    turns = spark.range(5_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.lit("").alias("text"))
+    assert len(conversation.prompt_memory(turns, 100).first()["messages"]) == 100
+
+
+def test_too_many_queries_are_refused_before_they_are_collected(spark):
+    from lorespan.operators import retrieve
+
+    wide = spark.range(300).select(F.col("id").alias("query_id"), F.array_repeat(F.lit(1.0), 40_000).alias("embedding"))
+    corpus = spark.createDataFrame([(1, [1.0] * 4)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="too many to broadcast"):
+        retrieve.search(wide, corpus)
+
+
 def test_duplicates_keep_the_first(spark):
     rows = [(i, "same" if i % 3 == 0 else f"t{i % 50}") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)

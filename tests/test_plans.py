@@ -67,8 +67,27 @@ def test_row_local_text_work_is_not_shuffled(spark, root, name):
     assert not hashed, hashed
 
 
-def test_large_inputs_are_not_repartitioned(spark, root):
-    from lorespan.sources.tables import spread
-
-    many = spark.range(0, 100, 1, spark.sparkContext.defaultParallelism)
-    assert "Exchange" not in spread(many)._jdf.queryExecution().executedPlan().toString()
+def test_tables_are_dealt_out_only_on_request(spark, root):
+    from lorespan.sources.tables import READ_PARTITIONS, table
+
+    plan = lambda: table(spark, root, "documents")._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get(READ_PARTITIONS)
+    assert "Exchange" in plan()
+    try:
+        spark.conf.unset(READ_PARTITIONS)
+        assert "Exchange" not in plan()
+    finally:
+        spark.conf.set(READ_PARTITIONS, before)
+
+
+def test_rank_correlation_plans_do_not_grow_with_the_columns(spark, root):
+    from lorespan.operators.profile import correlation
+
+    df = spark.read.parquet(f"{root}/lineitem.parquet")
+    columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    scans = [
+        correlation(df, "spearman", columns[:n], pairwise)._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+        for n in (3, 8)
+        for pairwise in (False, True)
+    ]
+    assert len(set(scans)) == 1 and scans[0] <= 6

@@ -36,7 +36,7 @@ def brute(metric):
 
 
 @pytest.mark.parametrize("metric", r.METRICS)
-@pytest.mark.parametrize("opts", [{}, {"broadcast_rows": 0, "block_rows": 40}], ids=["broadcast", "blocks"])
+@pytest.mark.parametrize("opts", [{}, {"plan": "blocks", "block_rows": 40}], ids=["broadcast", "blocks"])
 def test_search(sides, metric, opts):
     got = r.search(*sides, 4, metric=metric, **opts).collect()
     s = brute(metric)
@@ -51,7 +51,7 @@ def test_search(sides, metric, opts):
         assert row["vec_id"] == j and row["score"] == pytest.approx(score, abs=2e-9)
 
 
-@pytest.mark.parametrize("opts", [{}, {"broadcast_rows": 0, "block_rows": 50}], ids=["broadcast", "blocks"])
+@pytest.mark.parametrize("opts", [{}, {"plan": "blocks", "block_rows": 50}], ids=["broadcast", "blocks"])
 def test_range_keeps_every_hit(sides, opts):
     got = {(x["query_id"], x["vec_id"]) for x in r.range_search(*sides, 0.2, **opts).collect()}
     s = brute("cosine")
@@ -75,7 +75,7 @@ def test_hybrid_equals_brute_force(spark):
     q = v.hashed_embedding(spark.createDataFrame([(0, "red apple tree"), (1, "sky")], "query_id long, text string"), dimension=16)
     c = v.hashed_embedding(spark.createDataFrame(list(enumerate(texts)), "vec_id long, text string"), dimension=16)
     qs, cs = {x["query_id"]: x for x in q.collect()}, {x["vec_id"]: x for x in c.collect()}
-    for opts in ({}, {"broadcast_rows": 0, "block_rows": 2}):
+    for opts in ({}, {"plan": "blocks", "block_rows": 2}):
         got = {(x["query_id"], x["vec_id"]): x["score"] for x in r.hybrid_search(q, c, 6, 0.3, **opts).collect()}
         assert len(got) == 12
         for (i, j), score in got.items():

@@ -66,11 +66,18 @@ def test_previous_rows(hot, n, width):
 
 def test_buckets_never_decrease(spark):
     values = [-1e12, -5.5, -1.0, -1e-7, 0.0, 1e-9, 0.3, 1.0, 2.5, 1e3, 1e3 + 1, 1e300]
-    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", skew.magnitude_bucket("v").alias("b"))
-    ordered = [r["b"] for r in got.orderBy("v").collect()]
+    got = skew.with_value_bucket(spark.createDataFrame([(v,) for v in values], "v double"), "v")
+    ordered = [r[skew.VALUE_BUCKET] for r in got.orderBy("v").collect()]
     assert ordered == sorted(ordered)
 
 
+@pytest.mark.parametrize("value", ["1.7e9 + id", "id / 1e9", "(1.7e9 + id / 1e3) * 1e6", "-pow(id, 3)"])
+def test_buckets_split_any_range(spark, value):
+    df = spark.range(100_000).selectExpr(f"{value} as v")
+    sizes = [r["count"] for r in skew.with_value_bucket(df, "v").groupBy(skew.VALUE_BUCKET).count().collect()]
+    assert len(sizes) > 500 and max(sizes) < 1_000
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 1001])
 def test_exact_quantiles(spark, n):
     import statistics
