@@ -14,9 +14,9 @@ from lorespan.llm.common import components, stored
 
 MIN_COSINE = 0.93
 #: Words of each half of the product code; every pair of words is a filter direction.
-WORDS = 512
-#: Standard deviations that a vector must reach along a filter direction. A vector exceeds some 53 of the 262,144 directions.
-REACH = 3.4
+WORDS = 1024
+#: Standard deviations that a vector must reach along a filter direction. A vector exceeds some 53 of the 1,048,576 directions.
+REACH = 3.7
 SEED = 11
 #: Vectors of fewer components have no filters worth the name: they share one, and are compared part by part.
 LEAST_DIMENSIONS = 16
@@ -152,52 +152,60 @@ def _links(here: int, crossed: np.ndarray | None, unit: np.ndarray, rep: np.ndar
 
 
 def _verify(min_cosine: float, cell: str):
-    """Compare the rows of each filter and pair of parts; rows come sorted by these, and one group is held at a time."""
-
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "filter", "lo", "hi"))))
-            first = 0
-            for i, key in enumerate(keys):
-                if key != last:
-                    if i > first:
-                        held.append(batch.slice(first, i - first))
-                    if held:
-                        yield last, held
-                    held, first, last = [], i, key
-            held.append(batch.slice(first))
-        if held:
-            yield last, held
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, size = [], 0
-
-        def made() -> pa.RecordBatch:
-            columns = [np.concatenate(c) for c in zip(*found)] or [np.zeros(0, np.int64)] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "links", "root"])
-
-        for (_, _, here, lo, hi), held in groups(batches):
-            if sum(map(len, held)) < 2:
+    """Compare the rows of each filter and pair of parts. Rows come sorted by these; a group that a batch cuts waits."""
+
+    def links_of(rows: pa.Table, starts: np.ndarray) -> list[tuple]:
+        dims, here, lo, hi, part, node, n = (rows[c].to_numpy() for c in ("dim", "filter", "lo", "hi", "part", "node", "n"))
+        flat, at = np.frombuffer(b"".join(rows["raw"].to_pylist()), cell), np.append(0, np.cumsum(dims))
+        ends = np.append(starts[1:], len(rows))
+        sizes = ends - starts
+        large = sizes > 2
+        pairs = starts[sizes == 2]
+        for dim in np.unique(dims[pairs]):
+            # Most filters have two members: their cosines are one product.
+            own = pairs[dims[pairs] == dim]
+            one, two = (_units(flat[at[own + k][:, None] + np.arange(dim)]) for k in (0, 1))
+            large |= np.isin(starts, own[(one * two).sum(axis=1) >= min_cosine - 1e-9])
+        found = []
+        for i, j in zip(starts[large].tolist(), ends[large].tolist()):
+            unit = _units(flat[at[i] : at[j]].reshape(j - i, -1))
+            near = unit @ unit.T
+            if np.count_nonzero(near >= min_cosine) <= j - i and (near.diagonal() >= min_cosine).all():
                 continue
-            rows = pa.Table.from_batches(held)
-            unit = _units(np.frombuffer(b"".join(rows["raw"].to_pylist()), cell).reshape(len(rows), -1))
-            if len(rows) == 2 and unit[0] @ unit[1] < min_cosine:
-                continue
-            part, rep, n = (rows[c].to_numpy() for c in ("part", "node", "n"))
-            links = _links(here, part if lo != hi else None, unit, rep, n, rows["filters"].to_pylist(), min_cosine)
+            crossed = part[i:j] if lo[i] != hi[i] else None
+            filters = rows["filters"].slice(i, j - i).to_pylist()
+            links = _links(int(here[i]), crossed, unit, node[i:j], n[i:j], filters, min_cosine)
             if links is not None:
                 found.append(links)
-                size += len(links[0])
-                if size >= 10_000:
-                    yield made()
-                    found, size = [], 0
-        yield made()
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wait: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if wait is None else pa.concat_tables([wait, rows])
+            label = rows["label"].combine_chunks().dictionary_encode()
+            label = label.combine_chunks() if isinstance(label, pa.ChunkedArray) else label
+            keys = [label.indices.to_numpy(zero_copy_only=False), *(rows[c].to_numpy() for c in ("dim", "filter", "lo", "hi"))]
+            change = np.zeros(len(rows), bool)
+            change[:1] = True
+            for k in keys:
+                change[1:] |= k[1:] != k[:-1]
+            starts = np.flatnonzero(change)
+            if len(starts) > 1:
+                yield _found(links_of(rows.slice(0, int(starts[-1])), starts[:-1]))
+            wait = rows.slice(int(starts[-1])) if len(starts) else wait
+        if wait is not None and len(wait):
+            yield _found(links_of(wait, np.zeros(1, np.int64)))
 
     return run
 
 
+def _found(links: list[tuple]) -> pa.RecordBatch:
+    columns = [np.concatenate(c) for c in zip(*links)] or [np.zeros(0, np.int64)] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "links", "root"])
+
+
 def near_vectors(
     vectors: DataFrame,
     min_cosine: float = MIN_COSINE,
