@@ -36,6 +36,10 @@ HEADLINE = (
     "missing_values",
     "describe_customers",
     "correlation",
+    "correlation_ranks",
+    "mmr_search",
+    "document_relevance",
+    "stream_sessions",
 )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lorespan.functions import text as t
 
@@ -102,3 +102,8 @@ def history(runs: DataFrame, run: str = "run_id", system: str = "system") -> Dat
 def append_run(results: DataFrame, path: str, run_id: str) -> None:
     """Store a run next to the earlier ones."""
     results.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """All stored runs, with their ``run_id``."""
+    return spark.read.parquet(path).withColumn("run_id", F.col("run_id").cast("string"))

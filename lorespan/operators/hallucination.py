@@ -106,7 +106,17 @@ def evaluate(detected: DataFrame, keys: Sequence[str]) -> DataFrame:
     return second.withColumn("confidence", F.round(confidence, 4))
 
 
-def statistics(results: DataFrame) -> DataFrame:
+def _extremes(score: Column, keys: Sequence[str]) -> list[Column]:
+    """Keys of the best and the worst row (ties: the smaller key)."""
+    key = F.struct(*keys)
+    return [
+        *[F.min(F.struct((-score).alias("s"), key.alias("k")))["k"][k].alias(f"best_{k}") for k in keys],
+        *[F.min(F.struct(score.alias("s"), key.alias("k")))["k"][k].alias(f"worst_{k}") for k in keys],
+    ]
+
+
+def statistics(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Totals of evaluated answers; with ``keys``, those of the answer with the best and the worst score."""
     total = lambda c: F.sum(c).alias(c)
     return results.agg(
         F.count(F.lit(1)).alias("evaluations"),
@@ -114,4 +124,5 @@ def statistics(results: DataFrame) -> DataFrame:
         *[total(c) for c in ("entity_errors", "numeric_errors", "date_errors", "unsupported_claims", "contradictions")],
         F.min("score").alias("minimum_score"),
         F.max("score").alias("maximum_score"),
+        *(_extremes(F.col("score"), keys) if keys else []),
     )

@@ -84,8 +84,17 @@ def unpivot_stages(df: DataFrame, keys: Sequence[str], stages: Sequence[str] = S
     return df.unpivot(list(keys), list(stages), "stage", "ms").where(F.col("ms").isNotNull())
 
 
-def statistics(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Mean, extremes and rates of evaluated requests."""
+def _extremes(score: Column, keys: Sequence[str]) -> list[Column]:
+    """Keys of the fastest and the slowest row (ties: the smaller key)."""
+    key = F.struct(*keys)
+    return [
+        *[F.min(F.struct(score.alias("s"), key.alias("k")))["k"][k].alias(f"best_{k}") for k in keys],
+        *[F.min(F.struct((-score).alias("s"), key.alias("k")))["k"][k].alias(f"worst_{k}") for k in keys],
+    ]
+
+
+def statistics(results: DataFrame, by: Sequence[str] = (), keys: Sequence[str] = ()) -> DataFrame:
+    """Mean, extremes and rates of evaluated requests; with ``keys``, those of the fastest and the slowest one."""
     return results.groupBy(*by).agg(
         F.count(F.lit(1)).alias("evaluations"),
         F.round(F.avg("total_latency"), 3).alias("average_latency"),
@@ -95,4 +104,5 @@ def statistics(results: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.round(F.avg("tokens_per_second"), 2).alias("average_tokens_per_second"),
         F.count_if("high_latency").alias("high"),
         F.count_if("warning_latency").alias("warning"),
+        *(_extremes(F.col("total_latency"), keys) if keys else []),
     )

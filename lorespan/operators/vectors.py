@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -157,6 +158,16 @@ def upsert_vectors(store: DataFrame, changed: DataFrame, key: str = "vec_id") ->
     return store.join(changed.select(key), key, "left_anti").unionByName(changed)
 
 
+def write_version(store: DataFrame, path: str) -> str:
+    """Store a new version of a collection next to the earlier ones, and return its place.
+
+    Readers of an older version are not disturbed, and a write that fails leaves nothing that is read.
+    """
+    place = f"{path.rstrip('/')}/version-{uuid.uuid4().hex}"
+    store.write.parquet(place)
+    return place
+
+
 def delete_vectors(store: DataFrame, ids: DataFrame, key: str = "vec_id") -> DataFrame:
     return store.join(ids.select(key), key, "left_anti")
 

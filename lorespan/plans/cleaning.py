@@ -481,3 +481,19 @@ def checksums(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "documents").select(
         "doc_id", F.sha2(x, 256).alias("sha256"), F.md5(x).alias("md5"), F.sha1(x).alias("sha1")
     )
+
+
+_CONTROLS = ("\x01", "\x08", "\x1f", "\x7f")
+_CONTROLLED = f"replace(text, ' ', {q.quoted(' ' + ''.join(_CONTROLS))})"
+
+
+@query(
+    "control_characters",
+    55,
+    sql=f"with c as (select doc_id, {_CONTROLLED} as text from documents) "
+    f"select doc_id, {_chain('text', [(x, '') for x in _CONTROLS])} as text from c",
+)
+def control_characters(spark: SparkSession, root: str) -> DataFrame:
+    """Texts with control characters after every space."""
+    text = F.replace(F.col("text"), F.lit(" "), F.lit(" " + "".join(_CONTROLS)))
+    return table(spark, root, "documents").select("doc_id", c.remove_control_characters(text).alias("text"))

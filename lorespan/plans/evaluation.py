@@ -17,6 +17,7 @@ from lorespan.operators import (
 from lorespan.plans import sqltext as q
 from lorespan.plans.registry import query
 from lorespan.plans.retrieval import _COS, _PAIRS, _RETRIEVE, _TEXT, _vectors, corpus_chunks, questions, retrieved
+from lorespan.session import scratch_path
 from lorespan.sources.tables import table
 
 # Ranking: every vector asks for its ten nearest, relevant = same label ------------------------------------------
@@ -444,17 +445,24 @@ def hallucination(spark: SparkSession, root: str) -> DataFrame:
     return ha.evaluate(ha.detect(answers(spark, root), keys), keys)
 
 
+def _ENDS(keys: tuple[str, str], best: str, worst: str) -> str:  # noqa: N802
+    """Keys of the best and the worst row; of equal ones, the smallest."""
+    at = lambda k, s: f"arg_min({k}, {{'s': {s}, 'a': {keys[0]}, 'b': {keys[1]}}})"
+    return ", ".join(f"{at(k, s)} as {name}_{k}" for name, s in (("best", best), ("worst", worst)) for k in keys)
+
+
 @query(
     "hallucination_statistics",
     225,
     sql=f"""with {_HALL} select count(*) as evaluations, round(avg(score), 4) as average_score,
     sum(entity_errors)::bigint as entity_errors, sum(numeric_errors)::bigint as numeric_errors,
     sum(date_errors)::bigint as date_errors, sum(unsupported_claims)::bigint as unsupported_claims,
-    sum(contradictions)::bigint as contradictions, min(score) as minimum_score, max(score) as maximum_score from hall""",
+    sum(contradictions)::bigint as contradictions, min(score) as minimum_score, max(score) as maximum_score,
+    {_ENDS(("conv_id", "turn"), "-score", "score")} from hall""",
 )
 def hallucination_statistics(spark: SparkSession, root: str) -> DataFrame:
     keys = ["conv_id", "turn"]
-    return ha.statistics(ha.evaluate(ha.detect(answers(spark, root), keys), keys))
+    return ha.statistics(ha.evaluate(ha.detect(answers(spark, root), keys), keys), keys)
 
 
 # Latency: a request is a user's day, its stages are the event types ------------------------------------------------
@@ -494,10 +502,11 @@ def latency_requests(spark: SparkSession, root: str) -> DataFrame:
     sql=f"""with {_LAT} select count(*) as evaluations, round(avg(total_latency), 3) as average_latency,
     min(total_latency) as minimum_latency, max(total_latency) as maximum_latency,
     round(avg(queries_per_second), 2) as average_qps, round(avg(tokens_per_second), 2) as average_tokens_per_second,
-    count(*) filter (where high_latency) as high, count(*) filter (where warning_latency) as warning from l""",
+    count(*) filter (where high_latency) as high, count(*) filter (where warning_latency) as warning,
+    {_ENDS(("user_id", "day"), "total_latency", "-total_latency")} from l""",
 )
 def latency_statistics(spark: SparkSession, root: str) -> DataFrame:
-    return la.statistics(_evaluated(spark, root))
+    return la.statistics(_evaluated(spark, root), keys=["user_id", "day"])
 
 
 @query(
@@ -552,6 +561,20 @@ def benchmark_scores(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+@query(
+    "stored_runs",
+    241,
+    sql=f"""with {_SC} select v.run_id, query_id, overall_score from res cross join (values ('first'), ('second')) v(run_id)""",
+)
+def stored_runs(spark: SparkSession, root: str) -> DataFrame:
+    """Two runs stored one after the other, and read back as one history."""
+    rows = b.report(scores(spark, root))[1].select("query_id", "overall_score")
+    path = scratch_path(spark, "runs")
+    for run in ("first", "second"):
+        b.append_run(rows, path, run)
+    return b.read_runs(spark, path).select("run_id", "query_id", "overall_score")
+
+
 @query(
     "benchmark_report",
     242,

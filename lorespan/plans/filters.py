@@ -294,3 +294,12 @@ def benchmark_files(spark: SparkSession, root: str) -> DataFrame:
     sets = table(spark, root, "benchmark").select(F.lit("set").alias("name"), F.array(entry).alias("queries"))
     sets.repartition(4).write.option("maxRecordsPerFile", 1).json(path)
     return fi.read_benchmark_json(spark, path).select("query", "expected_answer", "name")
+
+
+@query("benchmark_csv_files", 7, sql="select item_id::varchar as query, text as expected_answer from benchmark")
+def benchmark_csv_files(spark: SparkSession, root: str) -> DataFrame:
+    """A benchmark set written as CSV, read back as queries."""
+    path = scratch_path(spark, "benchmark-csv")
+    rows = table(spark, root, "benchmark").select(F.col("item_id").cast("string").alias("query"), F.col("text").alias("expected_answer"))
+    ex.write_csv(rows, path)
+    return fi.read_benchmark_csv(spark, path).select("query", "expected_answer")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lorespan.operators import chunk, dedup, retrieve as r, vectors as v
 from lorespan.plans import sqltext as q
 from lorespan.plans.registry import query
+from lorespan.session import scratch_path
 from lorespan.sources.tables import table
 
 DIMENSION = 64
@@ -158,9 +159,12 @@ def mean_embedding(spark: SparkSession, root: str) -> DataFrame:
     return means.select("label", F.transform("mean", lambda x: F.round(x, 6)).alias("mean"))
 
 
-@query("validate_vectors", 161, sql="select vec_id, len(embedding) = 64 as valid from embeddings")
+@query("validate_vectors", 161, sql="select vec_id, label >= 2 as valid from embeddings")
 def validate_vectors(spark: SparkSession, root: str) -> DataFrame:
-    return v.validate_vectors(table(spark, root, "embeddings"), 64).select("vec_id", "valid")
+    """Vectors of label 0 are cut short and those of label 1 taken away."""
+    e = table(spark, root, "embeddings")
+    short = F.when(F.col("label") == 0, F.slice("embedding", 1, 63)).when(F.col("label") >= 2, F.col("embedding"))
+    return v.validate_vectors(e.withColumn("embedding", short), 64).select("vec_id", "valid")
 
 
 @query(
@@ -393,12 +397,28 @@ def search_by_metadata(spark: SparkSession, root: str) -> DataFrame:
     178,
     177,
     179,
-    sql="""select vec_id, label + 100 as label, true as changed from embeddings where label = 1
-    union all select vec_id, label, false from embeddings where label not in (1, 2)""",
+    sql="""select vec_id, list_reverse(embedding) as embedding, label + 100 as label from embeddings where label = 1
+    union all select vec_id, embedding, label from embeddings where label not in (1, 2)""",
 )
 def upsert_vectors(spark: SparkSession, root: str) -> DataFrame:
-    e = table(spark, root, "embeddings").select("vec_id", "label").withColumn("changed", F.lit(False))
-    ids = lambda n: e.where(F.col("label") == n).select("vec_id")
-    changed = v.get_vectors(e, ids(1)).select("vec_id", (F.col("label") + 100).alias("label"), F.lit(True).alias("changed"))
-    store = v.delete_vectors(v.upsert_vectors(e, changed), ids(2))
-    return v.add_vectors(store, v.get_vectors(e, ids(3)))
+    """A stored collection with new vectors for one label and without another, stored as its next version."""
+    e = table(spark, root, "embeddings").select("vec_id", "embedding", "label")
+    path = scratch_path(spark, "collection")
+    store = spark.read.parquet(v.write_version(e, path))
+    ids = lambda n: store.where(F.col("label") == n).select("vec_id")
+    changed = v.get_vectors(store, ids(1)).select(
+        "vec_id", F.reverse("embedding").alias("embedding"), (F.col("label") + 100).alias("label")
+    )
+    changed = v.delete_vectors(v.upsert_vectors(store, changed), ids(2))
+    return spark.read.parquet(v.write_version(v.add_vectors(changed, v.get_vectors(store, ids(3))), path))
+
+
+@query(
+    "search_document",
+    176,
+    sql=f"with {_chunks_sql()} select vec_id, page, source, text from ch where doc_id = 7",
+)
+def search_document(spark: SparkSession, root: str) -> DataFrame:
+    """The chunks of one document with what is known of it."""
+    chunks = corpus_chunks(spark, root).withColumnRenamed("page", "chunk_index")
+    return r.search_document(chunks, 7).select("vec_id", F.col("chunk_index").alias("page"), "source", "text")
