@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ SHORT_ITEM = 5
 #: Words of test items that one pass over the documents looks for; more items take more passes.
 BLOCK_WORDS = 200_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Stretches of text whose words a task remembers before it forgets all.
+REMEMBER = 300_000
 #: Cells of the alignment table of a group of passages.
 CELLS = 1 << 20
 
@@ -39,6 +42,37 @@ class _Numbers(dict):
         return 0
 
 
+class _Chunks(dict):
+    """Word numbers of what stands between white space, for texts of one block of items; words never span more."""
+
+    def __init__(self, numbers: _Numbers):
+        super().__init__()
+        self.numbers = numbers
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        found = tuple(self.numbers[w] for w in words_of(chunk))
+        if len(chunk) <= 40:
+            if len(self) >= REMEMBER:
+                self.clear()
+            self[chunk] = found
+        return found
+
+    def of(self, text: str | None) -> np.ndarray:
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, text.split() if text else ())), np.int64)
+
+
+class _Memory:
+    """Travels to the tasks empty, and keeps a task's chunks from one slice to the next."""
+
+    def __init__(self, numbers: _Numbers):
+        self.numbers, self.kept = numbers, None
+
+    def chunks(self) -> _Chunks:
+        if self.kept is None:
+            self.kept = _Chunks(self.numbers)
+        return self.kept
+
+
 @dataclass
 class Items:
     """A block of test items as word numbers, and their n-grams by code."""
@@ -112,11 +146,10 @@ def gram_frequencies(docs: DataFrame, items: Items, text: str) -> np.ndarray:
     """In how many documents each n-gram of the items stands, and last the number of documents; all of them count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.grams) + 1, np.int64)
+        total, chunks = np.zeros(len(items.grams) + 1, np.int64), _Chunks(items.numbers)
         for _, texts in slices(batches, "t"):
             for t in texts:
-                words = words_of(t)
-                grams, _ = items.found(np.fromiter(map(items.numbers.__getitem__, words), np.int64, len(words)))
+                grams, _ = items.found(chunks.of(t))
                 total[np.unique(grams)] += 1
             total[-1] += len(texts)
         some = np.flatnonzero(total)
@@ -246,11 +279,14 @@ def contaminated(
         seeds = rare_seeds(items, gram_frequencies(docs, items, text))
         by_gram = np.searchsorted(seeds[:, 0], np.arange(len(items.grams) + 1))
 
-        def step(batch: pa.RecordBatch, texts: list[str | None], items=items, seeds=seeds, by_gram=by_gram) -> list:
-            jobs, of = [], []
+        memory = _Memory(items.numbers)
+
+        def step(
+            batch: pa.RecordBatch, texts: list[str | None], items=items, seeds=seeds, by_gram=by_gram, memory=memory
+        ) -> list:
+            jobs, of, chunks = [], [], memory.chunks()
             for row, t in enumerate(texts):
-                own = words_of(t)
-                words = np.fromiter(map(items.numbers.__getitem__, own), np.int64, len(own))
+                words = chunks.of(t)
                 for k, begin, stop in _windows(items, by_gram, seeds, words):
                     jobs.append((k, begin, words[begin:stop]))
                     of.append(row)
