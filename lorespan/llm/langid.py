@@ -59,7 +59,7 @@ class _Space:
             if row is None:
                 row = self.known[name] = len(self.known)
                 if row == len(self.vectors):
-                    self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
+                    self.vectors = np.concatenate([self.vectors, np.zeros((1024, self.dimensions), np.int8)])
                 a, b, c = self.letter(int(first[i])), self.letter(int(second[i])), self.letter(int(third[i]))
                 self.vectors[row] = np.roll(a, 2) * np.roll(b, 1) * c
             rows[i] = row
@@ -93,9 +93,9 @@ class _Space:
         else:
             names, place = np.unique(tri, return_inverse=True)
         out = np.zeros((n, self.dimensions), np.float32)
-        for i in range(0, len(names), 8_192):  # many names only in writing systems of many signs
-            part = names[i : i + 8_192]
-            own = (place >= i) & (place < i + len(part)) if len(names) > 8_192 else slice(None)
+        for i in range(0, len(names), 1_024):  # few at a time, for the size of their vectors
+            part = names[i : i + 1_024]
+            own = (place >= i) & (place < i + len(part)) if len(names) > len(part) else slice(None)
             counts = np.bincount(owner[own] * len(part) + place[own] - i, minlength=n * len(part)).reshape(n, len(part))
             a, b, c = part // size**2, part // size % size, part % size
             out += counts.astype(np.float32) @ self.bound(letters[a], letters[b], letters[c])
