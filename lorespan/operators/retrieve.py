@@ -295,7 +295,9 @@ def range_search(queries: DataFrame, corpus: DataFrame, radius: float, **opts) -
     return search(queries, corpus, None, min_score=radius, **opts)
 
 
-def similarity_pairs(vectors: DataFrame, min_score: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def similarity_pairs(
+    vectors: DataFrame, min_score: float, key: str = "vec_id", vector: str = "embedding", plan: str = "broadcast"
+) -> DataFrame:
     """The similarity matrix as (left, right, score) with left < right and a score of at least ``min_score``."""
     pairs = search(
         vectors.select(F.col(key).alias("left"), F.col(vector)),
@@ -304,6 +306,7 @@ def similarity_pairs(vectors: DataFrame, min_score: float, key: str = "vec_id",
         min_score=min_score,
         query_id="left",
         corpus_id="right",
+        plan=plan,
     )
     return pairs.where("left < right")
 

@@ -26,7 +26,7 @@ from lorespan.sources.tables import table
 def _judged(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """Judged runs, and the number of relevant vectors of every query."""
     queries, corpus = _vectors(spark, root)
-    hits = r.search(queries, corpus, 10, exclude_self=True)
+    hits = r.search(queries, corpus, 10, exclude_self=True, plan="blocks")
     judged = hits.join(corpus.select("vec_id", "label"), "vec_id").join(queries.drop("embedding"), "query_id")
     judged = judged.withColumn("grade", (F.col("label") == F.col("query_label")).cast("double"))
     sizes = corpus.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("relevant"))

@@ -40,7 +40,7 @@ def _knn(name: str, row: int, metric: str, score: str) -> None:
     @query(name, row, 164, sql=_ranked(score, 5))
     def run(spark: SparkSession, root: str) -> DataFrame:
         queries, corpus = _vectors(spark, root)
-        return _shown(r.search(queries, corpus, 5, metric=metric, exclude_self=True))
+        return _shown(r.search(queries, corpus, 5, metric=metric, exclude_self=True, plan="blocks"))
 
 
 _knn("search_cosine", 163, "cosine", _COS)
@@ -52,7 +52,7 @@ _knn("search_l1", 163, "l1", "1 / (1 + list_sum(list_transform(list_zip(qv, cv),
 @query("search_threshold", 163, 171, sql=_ranked(_COS, 5, f"{_COS} >= 0.3"))
 def search_threshold(spark: SparkSession, root: str) -> DataFrame:
     queries, corpus = _vectors(spark, root)
-    return _shown(r.search(queries, corpus, 5, min_score=0.3, exclude_self=True))
+    return _shown(r.search(queries, corpus, 5, min_score=0.3, exclude_self=True, plan="blocks"))
 
 
 @query("search_blocks", 166, 162, sql=_ranked(_COS, 10))
@@ -69,13 +69,13 @@ def search_blocks(spark: SparkSession, root: str) -> DataFrame:
 )
 def search_range(spark: SparkSession, root: str) -> DataFrame:
     queries, corpus = _vectors(spark, root)
-    return _shown(r.range_search(queries, corpus, 0.35, exclude_self=True))
+    return _shown(r.range_search(queries, corpus, 0.35, exclude_self=True, plan="blocks"))
 
 
 @query("search_with_filter", 168, sql=_ranked(_COS, 5, "label = 3"))
 def search_with_filter(spark: SparkSession, root: str) -> DataFrame:
     queries, corpus = _vectors(spark, root)
-    return _shown(r.search(queries, r.filter_metadata(corpus, {"label": 3}), 5, exclude_self=True))
+    return _shown(r.search(queries, r.filter_metadata(corpus, {"label": 3}), 5, exclude_self=True, plan="blocks"))
 
 
 @query(
@@ -85,7 +85,7 @@ def search_with_filter(spark: SparkSession, root: str) -> DataFrame:
     where query_id < vec_id and round({_COS}, 9) >= 0.25""",
 )
 def similarity_pairs(spark: SparkSession, root: str) -> DataFrame:
-    return _shown(r.similarity_pairs(table(spark, root, "embeddings"), 0.25))
+    return _shown(r.similarity_pairs(table(spark, root, "embeddings"), 0.25, plan="blocks"))
 
 
 @query(
@@ -101,7 +101,7 @@ def precision_at_5(spark: SparkSession, root: str) -> DataFrame:
     from lorespan.operators import rankeval
 
     queries, corpus = _vectors(spark, root)
-    hits = r.search(queries, corpus, 5, exclude_self=True)
+    hits = r.search(queries, corpus, 5, exclude_self=True, plan="blocks")
     judged = hits.join(corpus.select("vec_id", "label"), "vec_id").join(queries.drop("embedding"), "query_id")
     judged = judged.withColumn("grade", (F.col("label") == F.col("query_label")).cast("double"))
     return rankeval.precision_at_k(judged, 5)
@@ -184,7 +184,7 @@ def collection_statistics(spark: SparkSession, root: str) -> DataFrame:
 )
 def format_results(spark: SparkSession, root: str) -> DataFrame:
     queries, corpus = _vectors(spark, root)
-    distances = r.search(queries, corpus, 5, exclude_self=True).select(
+    distances = r.search(queries, corpus, 5, exclude_self=True, plan="blocks").select(
         "query_id", "vec_id", (1 - F.col("score")).alias("distance")
     )
     return r.format_results(distances).select(
@@ -199,7 +199,7 @@ def format_results(spark: SparkSession, root: str) -> DataFrame:
 )
 def mmr_relevance_only(spark: SparkSession, root: str) -> DataFrame:
     queries, corpus = _vectors(spark, root)
-    return _shown(r.mmr_search(queries, corpus, 5, 20, 1.0, exclude_self=True))
+    return _shown(r.mmr_search(queries, corpus, 5, 20, 1.0, exclude_self=True, plan="blocks"))
 
 
 def _mmr_sql() -> str:
@@ -227,7 +227,7 @@ def _mmr_sql() -> str:
 @query("mmr_search", 170, sql=_mmr_sql())
 def mmr_search(spark: SparkSession, root: str) -> DataFrame:
     queries, corpus = _vectors(spark, root)
-    return _shown(r.mmr_search(queries, corpus, 5, 20, 0.5, exclude_self=True))
+    return _shown(r.mmr_search(queries, corpus, 5, 20, 0.5, exclude_self=True, plan="blocks"))
 
 
 # Text retrieval: benchmark texts as queries, word windows of all documents as corpus --------------------------------
