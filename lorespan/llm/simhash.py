@@ -165,9 +165,3 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", max
 def op7_simhash_near_dedup(spark, root: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_duplicates(spark.read.parquet(f"{root}/documents.parquet"))
-
-
-def first_of_each_group(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest id; a row without an id stays."""
-    gone = near_duplicates(docs, id, text).where(F.col(id) != F.col("component_id")).select(F.col(id).alias("_gone"))
-    return docs.join(gone, F.col(id) == F.col("_gone"), "left_anti")
