@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorespan.llm import caps, decontaminate, langid, lexicon, licenses, lines, packing, pfor, simhash, tokencount, warc
+from lorespan.llm import caps, decontaminate, langid, lexicon, licenses, lines, merkle, packing, pfor, simhash, tokencount, warc
 
 QUERIES = {
     "op3_line_dedup": lines.op3_line_dedup,
@@ -15,7 +15,8 @@ QUERIES = {
     "op4_token_counts": tokencount.op4_token_counts,
     "op5_token_id_blocks": pfor.op5_token_id_blocks,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op13_bpe_transducer": lexicon.op13_bpe_transducer,
 }
 
-SQL: dict[str, str] = {"op6_warc_archive": warc.SQL}
+SQL: dict[str, str] = {"op6_warc_archive": warc.SQL, "op11_merkle_manifest": merkle.SQL}
