@@ -5,9 +5,9 @@ from __future__ import annotations
 import functools
 import os
 import re
-from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +21,27 @@ from lorespan.llm.tokens import tokenizer_path
 from lorespan.session import scratch_path
 
 #: Words of the lexicon, the most frequent of the corpus. The bound is that of the driver's work; ids never depend on it.
-LEXICON_WORDS = 65_536
+LEXICON_WORDS = 131_072
 #: Bytes of the longest word that the lexicon takes.
 LONGEST = 48
-#: Distinct words that a counting task holds before it hands its counts on.
+#: Distinct pieces that a counting task holds before it hands its counts on.
 COUNTED = 400_000
-#: Words outside the lexicon whose ids a worker remembers before it forgets all.
-REMEMBER = 200_000
+#: Pieces of text whose ids a worker remembers, and their characters in all, before it forgets them.
+REMEMBER, REMEMBER_CHARS = 250_000, 1 << 24
 
 # The byte-level scheme's pre-token pattern.
 PRETOKEN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Up to U+02FF the pattern's classes are those of the tokenizers library; texts with other characters are cut by the library.
 _OTHER = re.compile("[^\0-˿]")
+#: Those characters and all white space but space and line feed.
+_STRANGE = re.compile("[^\0-\x08\n\x0e-\x1b\x20-\x84\x86-\x9f\xa1-˿]")
+
+
+def _even(text: str) -> bool:
+    """Whether every white space is one space or line feed between other characters, and no character is strange."""
+    ends = text[0] in " \n" or text[-1] in " \n"
+    return not (ends or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _STRANGE.search(text))
+
 
 MAGIC = b"LXT1"
 _PARTS = ("key", "target", "out_at", "out_n", "last_at", "last_n", "pool")
@@ -204,7 +213,6 @@ class Codec:
         stays = [*range(33, 127), *range(161, 173), *range(174, 256)]
         moved = [b for b in range(256) if b not in stays]
         self.letters = {b: chr(b) for b in stays} | {b: chr(256 + n) for n, b in enumerate(moved)}
-        self.memory: dict[str, array] = {}
 
     def words(self, text: str) -> list[str]:
         """The pre-tokens of a text without special tokens."""
@@ -212,17 +220,37 @@ class Codec:
             return [text[a:b] for _, (a, b) in self.lib.pre_tokenizer.pre_tokenize_str(text)]
         return PRETOKEN.findall(text)
 
-    def merged(self, word: str) -> array:
+    def pieces(self, text: str | None) -> list:
+        """A text in pieces that no pre-token reaches across; :meth:`words_of` gives their pre-tokens.
+
+        Where white space is single, a space begins a pre-token and a line feed is one, so the text falls apart there
+        without a look at its letters. The first such piece is marked by a carriage return, which it cannot hold; a
+        tab marks a pre-token of any other text, and a special token is a tuple of its id.
+        """
+        if not text:
+            return []
+        out: list = []
+        for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
+            if k % 2:
+                out.append((self.special[part],))
+            elif part and _even(part):
+                out += ("\r" + part.replace("\n", " \n")).split(" ")
+            elif part:
+                out += ["\t" + w for w in self.words(part)]
+        return out
+
+    def words_of(self, piece: str) -> list[str]:
+        if piece[0] == "\t":
+            return [piece[1:]]
+        return PRETOKEN.findall(piece[1:] if piece[0] == "\r" else piece if piece[0] == "\n" else " " + piece)
+
+    def merged(self, word: str) -> list[int]:
         """The ids of one pre-token by the merge rules."""
-        ids = self.memory.get(word)
-        if ids is None:
+        if word.isascii() and word.isprintable():
+            written = word.replace(" ", self.letters[32])
+        else:
             written = word.encode().decode("latin-1").translate(self.letters)
-            ids = array("q", [t.id for t in self.model.tokenize(written)])
-            if len(self.memory) >= REMEMBER:
-                self.memory.clear()
-            if len(word) <= LONGEST:
-                self.memory[word] = ids
-        return ids
+        return [t.id for t in self.model.tokenize(written)]
 
     @functools.cached_property
     def token_bytes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,11 +269,6 @@ def codec(vocabulary: str) -> Codec:
     return Codec(vocabulary)
 
 
-@functools.cache
-def _transducer(name: str) -> Transducer:
-    return Transducer(SparkFiles.get(name))
-
-
 def frequent_words(docs: DataFrame, vocabulary: str, size: int = LEXICON_WORDS, text: str = "text") -> DataFrame:
     """``word, n`` of the ``size`` most frequent pre-tokens of all texts (ties: the smaller word), of at most ``LONGEST`` bytes.
 
@@ -256,15 +279,17 @@ def frequent_words(docs: DataFrame, vocabulary: str, size: int = LEXICON_WORDS,
         own, counts = codec(vocabulary), Counter()
 
         def given() -> pa.RecordBatch:
-            held = [(w, n) for w, n in counts.items() if len(w.encode()) <= LONGEST]
+            words = Counter()
+            for piece, n in counts.items():
+                for w in own.words_of(piece) if isinstance(piece, str) else ():
+                    words[w] += n
+            held = [(w, n) for w, n in words.items() if len(w.encode()) <= LONGEST]
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array([w for w, _ in held], pa.string()), pa.array([n for _, n in held], pa.int64())], ["word", "n"])
 
         for _, texts in slices(batches, "t"):
             for t in texts:
-                for k, part in enumerate(own.cut.split(t) if own.cut and t else [t]):
-                    if part and k % 2 == 0:
-                        counts.update(own.words(part))
+                counts.update(own.pieces(t))
             if len(counts) >= COUNTED:
                 yield given()
         if counts:
@@ -298,35 +323,63 @@ def _put(spark: SparkSession, path: str, data: bytes) -> str:
     return files.makeQualified(place).toString()
 
 
-def encoded(texts: list[str | None], own: Codec, lexicon: Transducer) -> tuple[np.ndarray, np.ndarray]:
-    """Number of ids of every text, and all ids."""
-    index: defaultdict = defaultdict()
-    index.default_factory = index.__len__
-    codes, ends = [], []
-    for t in texts:
-        for k, part in enumerate(own.cut.split(t) if own.cut and t else [t]):
-            if part and k % 2:
-                codes.append(index[own.special[part],])  # a tuple of one id is no word
-            elif part:
-                codes += map(index.__getitem__, own.words(part))
-        ends.append(len(codes))
-    names = list(index)
-    plain = [n for n, w in enumerate(names) if isinstance(w, str) and len(w) <= LONGEST]
-    found, n, ids = lexicon.look_up([names[k].encode() for k in plain])
-    sizes = np.zeros(len(names), np.int64)
-    sizes[plain] = n
-    starts = np.cumsum(sizes) - sizes
-    rest = np.ones(len(names), bool)
-    rest[np.array(plain, np.int64)[found]] = False
-    more, at = [ids], len(ids)
-    for k in np.flatnonzero(rest).tolist():
-        own_ids = np.array(own.merged(names[k]) if isinstance(names[k], str) else names[k], np.int64)
-        starts[k], sizes[k] = at, len(own_ids)
-        more.append(own_ids)
-        at += len(own_ids)
-    codes = np.array(codes, np.int64)
-    until = np.concatenate([[0], np.cumsum(sizes[codes])])
-    return np.diff(until[np.array([0, *ends])]), _gather(np.concatenate(more), starts[codes], sizes[codes])
+class Memory:
+    """Ids of the pieces that a worker has seen: each new piece is read off the transducer or merged once."""
+
+    def __init__(self, own: Codec, lexicon: Transducer):
+        self.own, self.lexicon = own, lexicon
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: defaultdict = defaultdict()
+        self.index.default_factory = self.index.__len__
+        self.starts, self.sizes, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.chars = 0
+
+    def learn(self) -> None:
+        """Find the ids of the pieces that have come to the index since the last call."""
+        new = list(islice(self.index, len(self.sizes), None))
+        lists = [self.own.words_of(p) if isinstance(p, str) else [p] for p in new]
+        self.chars += sum(map(len, new))
+        index: defaultdict = defaultdict()
+        index.default_factory = index.__len__
+        codes = np.fromiter(map(index.__getitem__, chain.from_iterable(lists)), np.int64)
+        words = list(index)
+        plain = [k for k, w in enumerate(words) if isinstance(w, str) and len(w) <= LONGEST]
+        found, n, ids = self.lexicon.look_up([words[k].encode() for k in plain])
+        sizes = np.zeros(len(words), np.int64)
+        sizes[plain] = n
+        starts = np.cumsum(sizes) - sizes
+        unseen = np.ones(len(words), bool)
+        unseen[np.array(plain, np.int64)[found]] = False
+        unseen = np.flatnonzero(unseen)
+        merged = [self.own.merged(words[k]) if isinstance(words[k], str) else words[k] for k in unseen.tolist()]
+        sizes[unseen] = [len(m) for m in merged]
+        starts[unseen] = len(ids) + np.cumsum(sizes[unseen]) - sizes[unseen]
+        ids = np.concatenate([ids, np.fromiter(chain.from_iterable(merged), np.int64)])
+        until = np.concatenate([[0], np.cumsum(sizes[codes])])
+        ends = until[np.cumsum([0, *map(len, lists)])]
+        self.starts = np.concatenate([self.starts, ends[:-1] + len(self.pool)])
+        self.sizes = np.concatenate([self.sizes, np.diff(ends)])
+        self.pool = np.concatenate([self.pool, _gather(ids, starts[codes], sizes[codes])])
+
+    def encoded(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of every text, and all ids."""
+        if len(self.index) >= REMEMBER or self.chars >= REMEMBER_CHARS:
+            self.forget()
+        codes, ends, find = [], [0], self.index.__getitem__
+        for t in texts:
+            codes += map(find, self.own.pieces(t))
+            ends.append(len(codes))
+        self.learn()
+        codes = np.array(codes, np.int64)
+        until = np.concatenate([[0], np.cumsum(self.sizes[codes])])
+        return np.diff(until[np.array(ends)]), _gather(self.pool, self.starts[codes], self.sizes[codes])
+
+
+@functools.cache
+def memory(vocabulary: str, lexicon: str) -> Memory:
+    return Memory(codec(vocabulary), Transducer(SparkFiles.get(lexicon)))
 
 
 def encode(docs: DataFrame, vocabulary: str, lexicon: str, text: str = "text", name: str = "ids") -> DataFrame:
@@ -342,7 +395,7 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: str, text: str = "text", n
     kinds = ", ".join(f"c{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(others))
 
     def step(batch: pa.RecordBatch, texts: list) -> list:
-        n, ids = encoded(texts, codec(vocabulary), _transducer(lexicon))
+        n, ids = memory(vocabulary, lexicon).encoded(texts)
         ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
         return [*(batch.column(k) for k in range(len(others))), pa.ListArray.from_arrays(ends, pa.array(ids, pa.int32()))]
 

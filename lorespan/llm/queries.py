@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorespan.llm import caps, decontaminate, langid, lexicon, licenses, lines, merkle, packing, pfor, simhash, tokencount, warc
+from lorespan.llm import caps, decontaminate, langid, lexicon, licenses, lines, merkle, negatives, packing, pfor, simhash, tokencount, warc
 
 QUERIES = {
     "op3_line_dedup": lines.op3_line_dedup,
@@ -16,7 +16,8 @@ QUERIES = {
     "op5_token_id_blocks": pfor.op5_token_id_blocks,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_bpe_transducer": lexicon.op13_bpe_transducer,
 }
 
-SQL: dict[str, str] = {"op6_warc_archive": warc.SQL, "op11_merkle_manifest": merkle.SQL}
+SQL: dict[str, str] = {"op6_warc_archive": warc.SQL, "op11_merkle_manifest": merkle.SQL, "op12_hard_negatives": negatives.SQL}
