@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -23,6 +24,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one operator in the shared folder, which go once they have been read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.last = spark, [], []
+
+    def keep(self, path: str, last: bool = False) -> None:
+        (self.last if last else self.paths).append(path)
+
+    def stored(self, df: DataFrame, name: str, last: bool = False) -> DataFrame:
+        """Like :func:`stored`; with ``last``, the table belongs to the result and stays."""
+        path = scratch_path(self.spark, name)
+        self.keep(path, last)
+        df.write.option("compression", "zstd").parquet(path)
+        schema = df.schema
+        del df
+        return self.spark.read.schema(schema).parquet(path)
+
+    def sweep(self, files: bool = False) -> None:
+        """Let Spark's cleaner take the shuffle files of finished queries, and with ``files`` delete the tables.
+
+        The cleaner removes them when the driver's memory is collected, which a large heap puts off for long.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+        for path in self.paths if files else ():
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Cut Arrow batches into pieces of bounded rows and bytes, each with the values of one column."""
     for batch in batches:
@@ -55,16 +86,17 @@ def _signature(df: DataFrame) -> tuple:
     return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "component") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "component", scratch: Scratch | None = None) -> DataFrame:
     """Connected components of an edge list as ``node, <name>``; the component is its smallest node.
 
     Large-star and small-star steps alternate until nothing changes: every step is a grouped minimum and a join, its
     output never exceeds its input, and the number of rounds grows with the logarithm of the longest chain. Each
-    round is stored. Nodes without an edge (and edges with a null end) are not in the result.
+    round is stored (in ``scratch``, if given). Nodes without an edge (and edges with a null end) are not in the result.
     """
+    stored_ = scratch.stored if scratch else stored
     low, high = F.least(a, b), F.greatest(a, b)
     pairs = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    now = stored(pairs.select(high.alias("u"), low.alias("v")).distinct(), "edges")
+    now = stored_(pairs.select(high.alias("u"), low.alias("v")).distinct(), "edges")
     before = _signature(now)
     while before[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -72,7 +104,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        now = stored_(moved.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         after = _signature(now)
         if after == before:
             break

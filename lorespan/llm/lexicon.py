@@ -25,9 +25,9 @@ LEXICON_WORDS = 131_072
 #: Bytes of the longest word that the lexicon takes.
 LONGEST = 48
 #: Distinct pieces that a counting task holds before it hands its counts on.
-COUNTED = 400_000
+COUNTED = 200_000
 #: Pieces of text whose ids a worker remembers, and their characters in all, before it forgets them.
-REMEMBER, REMEMBER_CHARS = 250_000, 1 << 24
+REMEMBER, REMEMBER_CHARS = 150_000, 1 << 24
 
 # The byte-level scheme's pre-token pattern.
 PRETOKEN = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
