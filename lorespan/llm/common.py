@@ -54,6 +54,18 @@ class Scratch:
             place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def keyed(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, str, str]:
+    """``docs`` with columns ``c0, c1, ...`` and two hashes ``k, l`` of id and text, and the names of id and text in it.
+
+    Rows are told apart by the hashes: they need no copy of the table, and only truly repeated rows (of equal id and
+    text) share them. No name of an input column can clash with one of a step's own.
+    """
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    own_id, own_text = (f"c{docs.columns.index(c)}" for c in (id, text))
+    hashes = {"k": F.xxhash64(own_text, own_id), "l": F.xxhash64(own_id, F.lit(0), own_text)}
+    return docs.select(*columns).withColumns(hashes), own_id, own_text
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Cut Arrow batches into pieces of bounded rows and bytes, each with the values of one column."""
     for batch in batches:
