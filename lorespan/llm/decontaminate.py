@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespan.llm.common import arrow_step, slices
+from lorespan.llm.common import arrow_step, keyed, slices
 
 SEED_WORDS = 3
 MIN_SCORE = 0.6
@@ -43,22 +43,48 @@ class _Numbers(dict):
 
 
 class _Chunks(dict):
-    """Word numbers of what stands between white space, for texts of one block of items; words never span more."""
+    """Word numbers of what stands between white space, for texts of one block of items; words never span more.
+
+    A chunk of one word is that word's number; others are negative, one more than their place in ``lists``.
+    """
 
     def __init__(self, numbers: _Numbers):
         super().__init__()
-        self.numbers = numbers
-
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        found = tuple(self.numbers[w] for w in words_of(chunk))
-        if len(chunk) <= 40:
-            if len(self) >= REMEMBER:
-                self.clear()
-            self[chunk] = found
-        return found
+        self.numbers, self.lists = numbers, []
 
-    def of(self, text: str | None) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, text.split() if text else ())), np.int64)
+    def __missing__(self, chunk: str) -> int:
+        found = [self.numbers[w] for w in words_of(chunk)]
+        if len(found) == 1:
+            code = found[0]
+        else:
+            self.lists.append(found)
+            code = -len(self.lists)
+        self[chunk] = code
+        return code
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words of all texts, ``SEED_WORDS`` zeros after each, and where each text begins and ends."""
+        if len(self) >= REMEMBER:
+            self.clear()
+            self.lists = []
+        codes, ends = [], []
+        for t in texts:
+            if t:
+                codes += map(self.__getitem__, t.split())
+            codes += [0] * SEED_WORDS
+            ends.append(len(codes))
+        words = np.array(codes, np.int64)
+        ends = np.array(ends, np.int64)
+        odd = words < 0
+        if odd.any():
+            lists = [self.lists[-c - 1] for c in words[odd].tolist()]
+            n = np.ones(len(words), np.int64)
+            n[odd] = [len(x) for x in lists]
+            until = np.cumsum(n)
+            out = np.repeat(words, n)
+            out[np.repeat(odd, n)] = list(chain.from_iterable(lists))
+            words, ends = out, until[ends - 1]
+        return words, np.append(0, ends[:-1]), ends - SEED_WORDS
 
 
 class _Memory:
@@ -148,9 +174,10 @@ def gram_frequencies(docs: DataFrame, items: Items, text: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, chunks = np.zeros(len(items.grams) + 1, np.int64), _Chunks(items.numbers)
         for _, texts in slices(batches, "t"):
-            for t in texts:
-                grams, _ = items.found(chunks.of(t))
-                total[np.unique(grams)] += 1
+            words, begins, _ = chunks.of(texts)
+            grams, places = items.found(words)
+            once = np.unique(np.searchsorted(begins, places, "right") * len(total) + grams)
+            total += np.bincount(once % len(total), minlength=len(total))
             total[-1] += len(texts)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["gram", "docs"])
@@ -206,9 +233,13 @@ def _padded(rows: list[np.ndarray], fill: int) -> np.ndarray:
     return out
 
 
-def _windows(items: Items, seeds_by_gram: np.ndarray, seeds: np.ndarray, words: np.ndarray) -> list[tuple[int, int, int]]:
-    """Stretches of a text to align: item, first word and last word (exclusive), around the diagonals of its seeds."""
-    grams, places = items.found(words)
+def _windows(
+    items: Items, seeds_by_gram: np.ndarray, seeds: np.ndarray, grams: np.ndarray, places: np.ndarray, n_words: int
+) -> list[tuple[int, int, int]]:
+    """Stretches of a text to align: item, first word and last word (exclusive), around the diagonals of its seeds.
+
+    ``grams`` of the items stand at ``places`` of the text of ``n_words`` words.
+    """
     first, last = seeds_by_gram[grams], seeds_by_gram[grams + 1]
     times = last - first
     if not times.sum():
@@ -220,7 +251,7 @@ def _windows(items: Items, seeds_by_gram: np.ndarray, seeds: np.ndarray, words:
     for item, diagonal in pairs.tolist():
         size = len(items.words[item])
         pad = max(4, size // 4)
-        begin, stop = max(0, diagonal - pad), min(len(words), diagonal + size + pad)
+        begin, stop = max(0, diagonal - pad), min(n_words, diagonal + size + pad)
         if out and out[-1][0] == item and begin <= out[-1][2] - size:
             out[-1] = (item, out[-1][1], stop)
         else:
@@ -284,11 +315,20 @@ def contaminated(
         def step(
             batch: pa.RecordBatch, texts: list[str | None], items=items, seeds=seeds, by_gram=by_gram, memory=memory
         ) -> list:
-            jobs, of, chunks = [], [], memory.chunks()
-            for row, t in enumerate(texts):
-                words = chunks.of(t)
-                for k, begin, stop in _windows(items, by_gram, seeds, words):
-                    jobs.append((k, begin, words[begin:stop]))
+            jobs, of = [], []
+            words, begins, ends = memory.chunks().of(texts)
+            grams, places = items.found(words)
+            seed = by_gram[grams + 1] > by_gram[grams]
+            grams, places = grams[seed], places[seed]
+            text_of = np.searchsorted(begins, places, "right") - 1
+            order = np.argsort(text_of, kind="stable")
+            grams, places, text_of = grams[order], places[order], text_of[order]
+            some, cuts = np.unique(text_of, return_index=True)
+            for row, i, j in zip(some.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(text_of)]):
+                begin_, end_ = int(begins[row]), int(ends[row])
+                own = words[begin_:end_]
+                for k, begin, stop in _windows(items, by_gram, seeds, grams[i:j], places[i:j] - begin_, len(own)):
+                    jobs.append((k, begin, own[begin:stop]))
                     of.append(row)
             best: dict[tuple[int, int], tuple] = {}
             for row, job, hit in zip(of, jobs, _aligned(items, jobs)):
@@ -313,10 +353,13 @@ def contaminated(
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id") -> DataFrame:
-    """Documents that hold no test item; a document without an id cannot be named, and stays."""
-    leaks = contaminated(docs, benchmark, id=id).select(F.col(id).alias("_leak")).distinct()
-    return docs.join(leaks, F.col(id) == F.col("_leak"), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents that hold no test item. The decision falls on rows: of equal or missing ids, each by its own text."""
+    table, _, own_text = keyed(docs, id, text)
+    rows = table.select(F.struct("k", "l").alias("key"), F.col(own_text).alias("t"))
+    leaks = contaminated(rows, benchmark, id="key", text="t").select("key.k", "key.l").distinct()
+    out = table.join(leaks, ["k", "l"], "left_anti")
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op10_benchmark_decontamination(spark, root: str) -> DataFrame:
