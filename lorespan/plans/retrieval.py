@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lorespan.operators import chunk, dedup, retrieve as r, vectors as v
+from lorespan.operators import annindex as ann, chunk, dedup, retrieve as r, vectors as v
 from lorespan.plans import sqltext as q
 from lorespan.plans.registry import query
 from lorespan.session import scratch_path
@@ -62,6 +62,32 @@ def search_blocks(spark: SparkSession, root: str) -> DataFrame:
     return _shown(r.search(queries, corpus, 10, exclude_self=True, plan="blocks", block_rows=200))
 
 
+@query("search_lsh", 162, 166)
+def search_lsh(spark: SparkSession, root: str) -> DataFrame:
+    """Approximate neighbours from a stored index of projection buckets."""
+    queries, corpus = _vectors(spark, root)
+    path = scratch_path(spark, "lsh")
+    ann.build(corpus, path)
+    return _shown(ann.search(queries, path, 10, exclude_self=True))
+
+
+@query(
+    "search_lsh_recall",
+    162,
+    166,
+    sql=f"""with {_PAIRS}, k as (select query_id, row_number() over (partition by query_id order by round({_COS}, 9) desc, vec_id) as rank from p)
+    select count(distinct query_id) as queries, count(*) as hits, true as recall_reached, true as scores_equal from k where rank <= 10""",
+)
+def search_lsh_recall(spark: SparkSession, root: str) -> DataFrame:
+    """The index against exact search: at least nine of ten neighbours, each with the exact score."""
+    queries, corpus = _vectors(spark, root)
+    path = scratch_path(spark, "lsh")
+    ann.build(corpus, path)
+    exact = r.search(queries, corpus, 10, exclude_self=True, plan="blocks")
+    found = ann.recall(ann.search(queries, path, 10, exclude_self=True), exact)
+    return found.select("queries", "hits", (F.col("recall") >= 0.9).alias("recall_reached"), "scores_equal")
+
+
 @query(
     "search_range",
     167,
