@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -118,14 +119,39 @@ def describe(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Products, and pairs with values of their own, that one aggregate computes: more are past what code generation compiles well.
+_PRODUCTS, _PAIRS = 40, 6
+
+
 def _correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson of every pair in one aggregate."""
-    pairs = list(combinations(columns, 2))
-    wide = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    long = wide.unpivot([], [f"{i}" for i in range(len(pairs))], "_i", "correlation")
-    left = F.element_at(F.array(*[F.lit(a) for a, _ in pairs]), F.col("_i").cast("int") + 1)
-    right = F.element_at(F.array(*[F.lit(b) for _, b in pairs]), F.col("_i").cast("int") + 1)
-    return long.select(left.alias("left"), right.alias("right"), F.round("correlation", 6).alias("correlation"))
+    """Pearson of every pair.
+
+    Where no value is missing, all pairs share the columns' sums: means come from a first pass, products of differences
+    from a second one. Else every pair has the rows where both are present.
+    """
+    pairs = list(combinations(range(len(columns)), 2))
+    marks = [F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.min(c).alias("low"), F.max(c).alias("high")) for c in columns]
+    rows, *marks = df.agg(F.count(F.lit(1)), *marks).first()
+    whole = rows > 0 and all(m.n == rows and m.low < m.high and math.isfinite(m.mean) and math.isfinite(m.high - m.low) for m in marks)
+    found = None
+    if whole:
+        df = df.select(*[(F.col(c) - F.lit(m.mean)).alias(f"x{i}") for i, (c, m) in enumerate(zip(columns, marks))])
+    size = _PRODUCTS if whole else _PAIRS
+    for at in range(0, len(pairs), size):
+        own = pairs[at : at + size]
+        if whole:
+            used = sorted({i for pair in own for i in pair})
+            sums = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"{i}_{j}") for i, j in [*own, *((i, i) for i in used)]]
+            wide = df.agg(*sums).select(*[(F.col(f"{i}_{j}") / F.sqrt(F.col(f"{i}_{i}") * F.col(f"{j}_{j}"))).alias(f"{at + k}") for k, (i, j) in enumerate(own)])
+        else:
+            wide = df.agg(*[F.corr(columns[i], columns[j]).alias(f"{at + k}") for k, (i, j) in enumerate(own)])
+        long = wide.unpivot([], wide.columns, "_i", "correlation")
+        found = long if found is None else found.union(long)
+    if found is None:
+        return df.sparkSession.createDataFrame([], "left string, right string, correlation double")
+    left = F.element_at(F.array(*[F.lit(columns[a]) for a, _ in pairs]), F.col("_i").cast("int") + 1)
+    right = F.element_at(F.array(*[F.lit(columns[b]) for _, b in pairs]), F.col("_i").cast("int") + 1)
+    return found.select(left.alias("left"), right.alias("right"), F.round("correlation", 6).alias("correlation"))
 
 
 def _mean_ranks(values: DataFrame, series: Sequence[str]) -> DataFrame:

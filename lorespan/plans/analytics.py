@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lorespan.operators import (
     conversation as conv,
@@ -12,12 +12,14 @@ from lorespan.operators import (
     predicates as p,
     profile as pr,
     sessions as se,
+    sketches as sk,
     skew,
     traces as tr,
     usage as us,
 )
 from lorespan.plans import sqltext as q
 from lorespan.plans.registry import query
+from lorespan.session import scratch_path
 from lorespan.sources.tables import table
 
 # Conversations ---------------------------------------------------------------------------------------------------
@@ -281,6 +283,62 @@ def usage(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+_HALF = "'2024-01-06'::timestamp and '2024-01-26'::timestamp - interval 1 microsecond"
+
+
+def _stored_sketches(spark: SparkSession, root: str) -> DataFrame:
+    """Daily sketches of the even and the odd requests, stored apart and merged."""
+    path = scratch_path(spark, "sketches")
+    for odd in (0, 1):
+        part = usage(spark, root).where(F.pmod("event_id", F.lit(2)) == odd)
+        made = sk.summarise(part, ["model"], distinct={"users": "user_id"}, quantiles={"duration": "duration_ms"})
+        made.write.mode("append").parquet(path)
+    return sk.merge(spark.read.parquet(path))
+
+
+def _between(column: str) -> Column:
+    return (F.col(column) >= F.lit("2024-01-06").cast("timestamp")) & (F.col(column) < F.lit("2024-01-26").cast("timestamp"))
+
+
+@query(
+    "distinct_users_from_sketches",
+    270,
+    284,
+    285,
+    318,
+    sql=f"""select event_type as model, count(*) as requests, count(distinct user_id) as users, true as within_2_percent
+    from events where ts between {_HALF} group by event_type""",
+)
+def distinct_users_from_sketches(spark: SparkSession, root: str) -> DataFrame:
+    """Distinct users of three weeks from merged daily sketches, next to the exact count."""
+    found = sk.report(sk.roll_up(_stored_sketches(spark, root).where(_between("period")), ["model"]))
+    exact = usage(spark, root).where(_between("created_at")).groupBy("model").agg(F.count_distinct("user_id").alias("exact"))
+    near = F.abs(F.col("users") - F.col("exact")) <= 0.02 * F.col("exact")
+    return found.join(exact, "model").select("model", F.col("rows").alias("requests"), F.col("exact").alias("users"), near.alias("within_2_percent"))
+
+
+@query(
+    "latency_from_sketches",
+    227,
+    234,
+    308,
+    313,
+    sql=f"""select event_type as model, count(*) as requests, true as p50_within, true as p95_within, true as p99_within
+    from events where ts between {_HALF} group by event_type""",
+)
+def latency_from_sketches(spark: SparkSession, root: str) -> DataFrame:
+    """Percentiles of three weeks from merged daily sketches: their true ranks are within one in a hundred."""
+    found = sk.report(sk.roll_up(_stored_sketches(spark, root).where(_between("period")), ["model"]))
+    rows = usage(spark, root).where(_between("created_at")).join(found, "model")
+
+    def within(p: float) -> Column:
+        estimate, value = F.col(f"duration_p{100 * p:g}"), F.col("duration_ms")
+        below, upto = F.avg((value < estimate).cast("int")), F.avg((value <= estimate).cast("int"))
+        return ((below - 0.01 <= p) & (p <= upto + 0.01)).alias(f"p{100 * p:g}_within")
+
+    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("requests"), within(0.5), within(0.95), within(0.99))
+
+
 _KINDS = ", ".join(f"sum({k})::bigint as {k}" for k in us.TOKEN_KINDS)
 
 

@@ -229,20 +229,21 @@ def mmr_relevance_only(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _mmr_sql() -> str:
-    """Five greedy picks, written out as one step per pick."""
+    """Five greedy picks, written out as one step per pick; vectors are joined to the twenty candidates alone."""
     parts = [
-        f"""with {_PAIRS}, s as (select query_id, vec_id, cv, round({_COS}, 9) as score from p),
+        f"""with {_PAIRS}, s as materialized (select query_id, vec_id, round({_COS}, 9) as score from p),
         c as materialized (select * from (select *, row_number() over (partition by query_id order by score desc, vec_id) as r
-        from s) where r <= 20), p1 as materialized (select query_id, r, 1 as rank from c where r = 1)"""
+        from s) where r <= 20),
+        m as materialized (select x.query_id, x.r, y.r as other, list_cosine_similarity(a.v, b.v) as near
+        from c x join c y on y.query_id = x.query_id join e a on a.vec_id = x.vec_id join e b on b.vec_id = y.vec_id),
+        p1 as materialized (select query_id, r, 1 as rank from c where r = 1)"""
     ]
     for n in range(2, 6):
         parts.append(
             f"""p{n} as materialized (select * from p{n - 1} union all select query_id, arg_min(r, (-gain, r)) as r, {n} as rank
-            from (select x.query_id, x.r, round(0.5 * any_value(x.score)
-            - 0.5 * max(list_cosine_similarity(x.cv, y.cv)), 9) as gain
-            from c x join p{n - 1} k on k.query_id = x.query_id join c y on y.query_id = k.query_id and y.r = k.r
-            where not exists (select 1 from p{n - 1} t where t.query_id = x.query_id and t.r = x.r)
-            group by x.query_id, x.r) group by query_id)"""
+            from (select x.query_id, x.r, round(0.5 * any_value(x.score) - 0.5 * max(m.near), 9) as gain
+            from c x join p{n - 1} k on k.query_id = x.query_id join m on m.query_id = x.query_id and m.r = x.r and m.other = k.r
+            group by x.query_id, x.r having not bool_or(k.r = x.r)) group by query_id)"""
         )
     return (
         ", ".join(parts)
