@@ -8,6 +8,7 @@ from lorespan.operators import annindex as ann, chunk, dedup, retrieve as r, vec
 from lorespan.plans import sqltext as q
 from lorespan.plans.registry import query
 from lorespan.session import scratch_path
+from lorespan.sources import buckettable
 from lorespan.sources.tables import table
 
 DIMENSION = 64
@@ -440,6 +441,26 @@ def upsert_vectors(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(v.write_version(v.add_vectors(changed, v.get_vectors(store, ids(3))), path))
 
 
+@query(
+    "update_collection_buckets",
+    178,
+    248,
+    256,
+    sql="""select vec_id, list_reverse(embedding) as embedding, label + 100 as label from embeddings where label = 1
+    union all select vec_id, embedding, label from embeddings where label not in (1, 2)""",
+)
+def update_collection_buckets(spark: SparkSession, root: str) -> DataFrame:
+    """The same changes to a collection in hash buckets: only touched buckets are written."""
+    e = table(spark, root, "embeddings").select("vec_id", "embedding", "label")
+    path = scratch_path(spark, "collection")
+    buckettable.create(e, path, ["vec_id"])
+    changed = buckettable.read(spark, path).where("label = 1")
+    changed = changed.select("vec_id", F.reverse("embedding").alias("embedding"), (F.col("label") + 100).alias("label"))
+    buckettable.upsert(changed, path)
+    buckettable.delete(buckettable.read(spark, path).where("label = 2"), path)
+    return buckettable.read(spark, path)
+
+
 @query(
     "search_document",
     176,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lorespan.plans.registry import query
+from lorespan.session import scratch_path
+from lorespan.sources import buckettable
 from lorespan.sources.tables import table
 from lorespan.streaming import forms as f
 
@@ -109,6 +111,38 @@ def stream_span_completion(spark: SparkSession, root: str) -> DataFrame:
     return f.collect_available(f.span_completion(starts, ends), "append")
 
 
+@query(
+    "stream_span_timeout",
+    302,
+    sql=f"""with s as (select event_id, ts, case when event_type <> 'error' then make_timestamp(epoch_us(ts) + round(value * 1000)::bigint) end as ended from events)
+    select event_id as span_id, ts as start_time, ended as end_time,
+    case when ended is not null then round((epoch_us(ended) - epoch_us(ts)) / 1000, 3) end as duration_ms, ended is null as timed_out
+    from s where ended is not null or ts + interval 1 hour < (select least(max(ts), max(ended)) from s) - interval 1 hour""",
+)
+def stream_span_timeout(spark: SparkSession, root: str) -> DataFrame:
+    """Spans of which those of errors never end: they come once, as timed out."""
+    end = F.timestamp_micros(F.unix_micros("ts") + F.round(F.col("value") * 1000).cast("long"))
+    starts = stream(spark, root).select(F.col("event_id").alias("span_id"), F.col("ts").alias("start_time"))
+    ends = stream(spark, root).where("event_type <> 'error'").select(F.col("event_id").alias("span_id"), end.alias("end_time"))
+    return f.collect_available(f.spans_or_timeout(starts, ends), "append")
+
+
+@query(
+    "stream_upsert_latest",
+    255,
+    290,
+    293,
+    sql="select user_id, arg_max(event_id, (ts, event_id)) as event_id, max(ts) as ts, arg_max(event_type, (ts, event_id)) as event_type from events group by user_id",
+)
+def stream_upsert_latest(spark: SparkSession, root: str) -> DataFrame:
+    """The newest event per user, kept in a table of buckets over four batches that come in no order of time."""
+    parts, path = scratch_path(spark, "events"), scratch_path(spark, "latest")
+    table(spark, root, "events").select("user_id", "event_id", "ts", "event_type").repartition(4, "event_id").write.parquet(parts)
+    events = f.event_stream(spark, parts, spark.read.parquet(parts).schema, 1)
+    f.run_upsert(events, path, scratch_path(spark, "checkpoint"), ["user_id"], ["ts", "event_id"], 8, 8)
+    return buckettable.read(spark, path)
+
+
 @query(
     "stream_gauges",
     307,

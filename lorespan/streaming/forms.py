@@ -6,13 +6,14 @@ everything that has arrived. Event times must be timestamps.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lorespan.session import scratch_path
+from lorespan.sources import buckettable
 
 # Failed logins per user and day; requests per client, day and hour.
 FAILED_LOGINS = 5
@@ -170,6 +171,53 @@ def run_update(form: DataFrame, path: str, checkpoint: str, state_partitions: in
         q.awaitTermination()
 
 
+def run_upsert(
+    form: DataFrame,
+    path: str,
+    checkpoint: str,
+    keys: Sequence[str],
+    order: Sequence[str],
+    state_partitions: int | None = None,
+    buckets: int = buckettable.BUCKETS,
+) -> None:
+    """Keep the newest row per key of everything that has arrived in a bucket table at ``path``.
+
+    A batch is a version of the table, so a batch that is repeated after a failure changes nothing, and only the buckets
+    of its keys are written. ``order`` decides which row is newest, whatever the order of arrival.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")
+        rows = batch.groupBy(*keys).agg(newest).select(*keys, "_last.*").select(form.columns)
+        buckettable.upsert(rows, path, order, number + 1)
+
+    rest = [c for c in form.columns if c not in keys]
+    spark = form.sparkSession
+    if not _exists(spark, path):
+        buckettable.create(spark.createDataFrame([], form.schema), path, keys, buckets)
+    with _state_partitions(spark, state_partitions):
+        q = form.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/map")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def spans_or_timeout(starts: DataFrame, ends: DataFrame, longest: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """Spans with their end; a span that has none within ``longest`` is given once, as timed out, when the watermark passes.
+
+    State holds the starts and ends of the last ``longest`` plus ``delay`` alone.
+    """
+    s = starts.withWatermark("start_time", delay)
+    e = ends.withColumnRenamed("span_id", "_span").withWatermark("end_time", delay)
+    bound = F.expr(f"span_id = _span and end_time >= start_time and end_time <= start_time + interval {longest}")
+    took = (F.unix_micros("end_time") - F.unix_micros("start_time")) / 1000
+    out = s.join(e, bound, "left_outer").drop("_span").withColumn("duration_ms", F.round(took, 3))
+    return out.withColumn("timed_out", F.col("end_time").isNull())
+
+
 def collect_available(
     form: DataFrame, mode: str, keys: tuple[str, ...] = (), state_partitions: int | None = 8
 ) -> DataFrame:
