@@ -208,6 +208,32 @@ def rouge(df: DataFrame, reference: str, candidate: str, keys: Sequence[str]) ->
     return rows.select(*keys, measure(1).alias("rouge1"), measure(2).alias("rouge2"))
 
 
+def longest_common(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays, as a fold over ``a``.
+
+    The fold keeps, for every length, the smallest place in ``b`` at which a common subsequence of that length can end.
+    An element's places in ``b`` are put in from the last to the first, so that each extends only what stood before it.
+    """
+
+    def put(ends: Column, place: Column) -> Column:
+        before = F.size(F.filter(ends, lambda x: x < place))
+        return F.concat(F.slice(ends, 1, before), F.array(place), F.slice(ends, before + 2, F.greatest(F.size(ends) - before - 1, F.lit(0))))
+
+    def step(ends: Column, x: Column) -> Column:
+        places = F.array_compact(F.transform(b, lambda y, i: F.when(x == y, i)))
+        return F.aggregate(F.reverse(places), ends, put)
+
+    return F.size(F.aggregate(a, F.array().cast("array<int>"), step))
+
+
+def rouge_l(df: DataFrame, reference: str, candidate: str, keys: Sequence[str]) -> DataFrame:
+    """ROUGE-L per pair: F-measure of the longest common subsequence of words. No words on a side: 0; a missing text: null."""
+    rows = df.withColumn("_rw", t.tokens(F.col(reference))).withColumn("_cw", t.tokens(F.col(candidate)))
+    rows = rows.withColumn("_n", longest_common(F.col("_cw"), F.col("_rw")).cast("long"))
+    p, r = (t.share(F.col("_n"), F.size(c).cast("long")) for c in ("_cw", "_rw"))
+    return rows.select(*keys, F.col("_n").alias("common"), F.round(f1(p, r), 4).alias("rougeL"))
+
+
 # Metric history --------------------------------------------------------------------------------------------------
 
 

@@ -213,6 +213,21 @@ def rouge(spark: SparkSession, root: str) -> DataFrame:
     return re_.rouge(_turn_pairs(spark, root), "reference", "candidate", ["conv_id", "turn"])
 
 
+@query(
+    "rouge_l",
+    195,
+    sql=f"""with recursive {_TURNS.removeprefix("with ")}, w as (select conv_id, turn, {q.tokens("reference")} as r, {q.tokens("candidate")} as c from pairs),
+    d as (select conv_id, turn, r, c, 0 as i, list_transform(range(0, len(r) + 1), lambda j: 0::bigint) as cells from w
+    union all select conv_id, turn, r, c, i + 1, list_reduce(list_transform(range(1, len(r) + 1), lambda j: [j]),
+    lambda acc, x: list_append(acc, greatest(acc[len(acc)], cells[x[1] + 1], cells[x[1]] + (r[x[1]] = c[i + 1])::bigint)), [0::bigint])
+    from d where i < len(c)),
+    n as (select conv_id, turn, len(r) as nr, len(c) as nc, cells[len(cells)] as common from d where i = len(c))
+    select conv_id, turn, common, coalesce(round(2 * (common / nc) * (common / nr) / nullif(common / nc + common / nr, 0), 4), 0) as rougeL from n""",
+)
+def rouge_l(spark: SparkSession, root: str) -> DataFrame:
+    return re_.rouge_l(_turn_pairs(spark, root), "reference", "candidate", ["conv_id", "turn"])
+
+
 @query(
     "bleu",
     194,

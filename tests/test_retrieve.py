@@ -163,3 +163,24 @@ def test_bleu_and_rouge_by_hand(spark):
     assert (got[1]["rouge1"], got[1]["rouge2"]) == (1.0, 0.6) and got[2]["rouge1"] == 0.0
     same = spark.createDataFrame([("a b c d e", "a b c d e")], "ref string, cand string")
     assert rankeval.bleu(same, "ref", "cand").first()["bleu"] == 1.0
+
+
+def test_longest_common_subsequence(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [([rng.choice("abc") for _ in range(rng.randint(0, 12))], [rng.choice("abc") for _ in range(rng.randint(0, 12))]) for _ in range(150)]
+
+    def plain(a, b):
+        cells = [0] * (len(b) + 1)
+        for x in a:
+            last = list(cells)
+            for j, y in enumerate(b, 1):
+                cells[j] = last[j - 1] + 1 if x == y else max(last[j], cells[j - 1])
+        return cells[-1]
+
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    got = df.select("a", "b", rankeval.longest_common(F.col("a"), F.col("b")).alias("n")).collect()
+    assert all(r.n == plain(r.a, r.b) for r in got)
+    df = spark.createDataFrame([(1, "the cat sat down", "the cat quietly sat"), (2, "", "x"), (3, None, "x")], "i int, ref string, cand string")
+    assert {r.i: (r.common, r.rougeL) for r in rankeval.rouge_l(df, "ref", "cand", ["i"]).collect()} == {1: (3, 0.75), 2: (0, 0.0), 3: (None, None)}
