@@ -9,6 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType, DateType, TimestampNTZType, TimestampType
 
+from lorespan.operators.concordance import kendall
 from lorespan.operators.dedup import duplicate_rows
 from lorespan.operators.skew import VALUE_BUCKET, exact_quantiles, join_on, prefix_sums, side_by_side, with_value_bucket
 
@@ -203,7 +204,7 @@ def correlation(
 ) -> DataFrame:
     """Correlation of every pair of numeric columns.
 
-    Spearman is Pearson over mean ranks. With ``pairwise``, ranks of a pair are taken over the rows where both are
+    Spearman is Pearson over mean ranks; Kendall is tau-b, always pairwise (:func:`concordance.kendall`). With ``pairwise``, ranks of a pair are taken over the rows where both are
     present, which costs a pass over the values per pair; without, over the rows where all columns are.
     """
     columns = list(columns or numeric_columns(df))
@@ -212,6 +213,8 @@ def correlation(
     values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     if method == "pearson":
         return _correlations(values, columns)
+    if method == "kendall":
+        return kendall(values, columns)
     if method != "spearman":
         raise ValueError(f"unknown method: {method}")
     return _rank_correlation(values, columns, pairwise)

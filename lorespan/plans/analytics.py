@@ -1207,6 +1207,24 @@ def correlation_ranks_pairwise(spark: SparkSession, root: str) -> DataFrame:
     return pr.correlation(spark.sql(_HOLES.replace("lineitem", "_holes")), "spearman")
 
 
+_TAU = ["p_partkey", "p_size", "p_retailprice"]
+
+
+@query(
+    "correlation_kendall",
+    319,
+    sql=" union all ".join(
+        f"""select '{a}' as "left", '{b}' as "right", round(sum(sign(s.{a} - t.{a}) * sign(s.{b} - t.{b})) /
+        sqrt(sum((s.{a} <> t.{a})::int)) / sqrt(sum((s.{b} <> t.{b})::int)), 6) as correlation
+        from part s join part t on s.p_partkey < t.p_partkey"""
+        for i, a in enumerate(_TAU)
+        for b in _TAU[i + 1 :]
+    ),
+)
+def correlation_kendall(spark: SparkSession, root: str) -> DataFrame:
+    return pr.correlation(table(spark, root, "part"), "kendall", _TAU)
+
+
 @query("value_counts", 320, sql=f"with {_LI} select q as l_quantity, count(*) as count from li group by q")
 def value_counts(spark: SparkSession, root: str) -> DataFrame:
     return pr.value_counts(items(spark, root), "l_quantity")
