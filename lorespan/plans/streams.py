@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lorespan.plans.registry import query
 from lorespan.session import scratch_path
-from lorespan.sources import buckettable
+from lorespan.sources import buckettable, eventstore
 from lorespan.sources.tables import table
-from lorespan.streaming import forms as f
+from lorespan.streaming import forms as f, keyed, rollups
 
 _CLOSED = "(select max(ts) - interval 1 hour from events)"
 
@@ -162,3 +162,131 @@ def stream_deduplicated(spark: SparkSession, root: str) -> DataFrame:
 @query("stream_append_events", 265, 292, sql="select event_id, ts, user_id, event_type, value, props from events")
 def stream_append_events(spark: SparkSession, root: str) -> DataFrame:
     return f.collect_available(stream(spark, root), "append")
+
+
+@query(
+    "stream_idle_sessions",
+    288,
+    289,
+    sql="""with g as (select *, coalesce(ts >= lag(ts) over w + interval 6 hour, true)::int as opens from events
+    window w as (partition by user_id order by ts, event_id)),
+    s as (select *, sum(opens) over (partition by user_id order by ts, event_id rows unbounded preceding) as n from g)
+    select user_id, min(ts) as first_activity, max(ts) as last_activity, count(*) as events, max(ts) + interval 6 hour
+    as expired_at from s group by user_id, n
+    having max(ts) + interval 6 hour <= (select date_trunc('millisecond', max(ts)) - interval 1 hour from events)""",
+)
+def stream_idle_sessions(spark: SparkSession, root: str) -> DataFrame:
+    """Sessions that a timer has closed."""
+    with keyed.rocks(spark):
+        return f.collect_available(keyed.idle_sessions(stream(spark, root)), "append", state_partitions=None)
+
+
+@query(
+    "stream_rate_limited",
+    297,
+    313,
+    sql="""with recursive e as (select user_id, event_id, ts, row_number() over (partition by user_id order by ts, event_id) as i
+    from events), r as (select user_id, event_id, ts, i, true as allowed, [ts] as kept from e where i = 1 union all
+    select e.user_id, e.event_id, e.ts, e.i, len(list_filter(r.kept, lambda x: x > e.ts - interval 1 day)) < 2,
+    case when len(list_filter(r.kept, lambda x: x > e.ts - interval 1 day)) < 2
+    then list_append(list_filter(r.kept, lambda x: x > e.ts - interval 1 day), e.ts) else r.kept end
+    from r join e on e.user_id = r.user_id and e.i = r.i + 1) select user_id, event_id, ts, allowed from r""",
+)
+def stream_rate_limited(spark: SparkSession, root: str) -> DataFrame:
+    """Two requests per user in any 24 hours; the rest is refused and does not count."""
+    with keyed.rocks(spark):
+        return f.collect_available(keyed.rate_limited(stream(spark, root), 2), "append", state_partitions=None)
+
+
+_MEASURED = """count(*) as n, count(value) as value_n, round(sum(value), 4) as value_sum, min(value) as value_min, max(value) as value_max,
+    round(avg(value), 6) as value_avg from events group by all"""
+_ROUNDED = {"value_sum": F.round("value_sum", 4), "value_avg": F.round("value_avg", 6)}
+
+
+@query(
+    "incremental_rollup",
+    279,
+    284,
+    285,
+    sql=f"select date_trunc('day', ts)::timestamp as period, event_type, {_MEASURED}",
+)
+def incremental_rollup(spark: SparkSession, root: str) -> DataFrame:
+    """Daily usage from three increments of a source that grows, each from the mark of the one before.
+
+    Events arrive in the order of a hash of their ids, so every increment brings late ones for days already rolled up.
+    """
+    path = scratch_path(spark, "rollup")
+    arrived = F.pmod(F.xxhash64("event_id"), F.lit(1 << 40))
+    events = table(spark, root, "events").withColumn("arrived", arrived)
+    for third in (1, 2, 3):
+        there = events.where(F.col("arrived") < (1 << 40) // 3 * third + third // 3)
+        rollups.increment(there, path, "arrived", ["event_type"], {"value": "value"}, "ts", buckets=8)
+    return rollups.report(spark, path).withColumns(_ROUNDED)
+
+
+@query(
+    "stream_rollup",
+    272,
+    284,
+    285,
+    sql=f"select date_trunc('month', ts)::timestamp as period, event_type, {_MEASURED}",
+)
+def stream_rollup(spark: SparkSession, root: str) -> DataFrame:
+    """Hourly sums kept by a stream of four batches in no order of time, read by month."""
+    parts, path = scratch_path(spark, "events"), scratch_path(spark, "rollup")
+    table(spark, root, "events").select("event_id", "ts", "event_type", "value").repartition(4, "event_id").write.parquet(parts)
+    events = f.event_stream(spark, parts, spark.read.parquet(parts).schema, 1)
+    rollups.run_rollup(events, path, scratch_path(spark, "checkpoint"), ["event_type"], {"value": "value"}, unit="hour", buckets=8)
+    return rollups.report(spark, path, "month", ["event_type"]).withColumns(_ROUNDED)
+
+
+def _stored_events(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """The events by day, in two batches of which the second came twice."""
+    events = table(spark, root, "events")
+    halves = F.pmod(F.xxhash64("event_id"), F.lit(2))
+    for batch in (0, 1, 1):
+        eventstore.append(events.where(halves == batch), path, batch, "ts")
+    return eventstore.read(spark, path, events.schema)
+
+
+@query(
+    "event_store_period",
+    280,
+    sql="select event_id, user_id, ts from events where ts >= '2024-01-10' and ts < '2024-01-12 12:00:00'",
+)
+def event_store_period(spark: SparkSession, root: str) -> DataFrame:
+    stored = _stored_events(spark, root, scratch_path(spark, "store"))
+    return eventstore.between(stored, "2024-01-10", "2024-01-12 12:00:00", "ts").select("event_id", "user_id", "ts")
+
+
+@query(
+    "event_store_retention",
+    281,
+    299,
+    sql="select ts::date as day, event_type, count(*) as events from events where ts::date >= '2024-01-31'::date - 14 group by all",
+)
+def event_store_retention(spark: SparkSession, root: str) -> DataFrame:
+    """Days of the last two weeks; the folders before them are gone, and a batch that comes again brings none back."""
+    path = scratch_path(spark, "store")
+    schema = _stored_events(spark, root, path).drop("day").schema
+    eventstore.retain(spark, path, "2024-01-31", 14)
+    events = table(spark, root, "events")
+    eventstore.append(events.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == 0), path, 0, "ts")
+    kept = eventstore.read(spark, path, schema)
+    return kept.groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query(
+    "event_store_busy_days",
+    280,
+    sql="""with c as (select ts::date as day, count(*) as errors from events where event_type = 'error' group by 1),
+    b as (select * from c where errors > (select avg(errors) from c)) select day, errors, count(*) as events, count(distinct user_id) as users
+    from events join b on ts::date = day group by all""",
+)
+def event_store_busy_days(spark: SparkSession, root: str) -> DataFrame:
+    """What happened on days with more errors than on average: days known at run time prune the folders."""
+    stored = _stored_events(spark, root, scratch_path(spark, "store"))
+    errors = stored.where("event_type = 'error'").groupBy("day").agg(F.count(F.lit(1)).alias("errors"))
+    busy = errors.where(F.col("errors") > errors.agg(F.avg("errors")).scalar())
+    joined = eventstore.on_days(stored, busy)
+    return joined.groupBy("day", "errors").agg(F.count(F.lit(1)).alias("events"), F.count_distinct("user_id").alias("users"))

@@ -13,7 +13,7 @@ touches, not with the table.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructType
@@ -65,7 +65,7 @@ def _table(spark: SparkSession, path: str) -> tuple[int, list[str], StructType]:
 
 def _rows(spark: SparkSession, path: str, schema: StructType, holds: dict[int, int]) -> DataFrame:
     """The rows of some buckets; version and bucket are folders, so only those are read."""
-    full = StructType(schema.fields).add("version", IntegerType()).add("bucket", IntegerType())
+    full = StructType(list(schema.fields)).add("version", IntegerType()).add("bucket", IntegerType())
     data = spark.read.schema(full).option("basePath", f"{path}/data").parquet(f"{path}/data")
     by_version: dict[int, list[int]] = {}
     for b, n in holds.items():
@@ -93,12 +93,26 @@ def upsert(changes: DataFrame, path: str, order: Sequence[str] = (), number: int
     return _change(changes, path, order, number, False)
 
 
+def fold(changes: DataFrame, path: str, by: Mapping[str, str], number: int | None = None) -> int:
+    """Combine ``changes`` with the rows of equal keys, every other column by its aggregate (``sum``, ``min``, ``max``).
+
+    A fold with a number starts from the version before it, so a repeated one does not add twice.
+    """
+    return _change(changes, path, (), number, False, by)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a folder or file at ``path``."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def delete(keys: DataFrame, path: str, number: int | None = None) -> int:
     """Remove the rows of these keys; returns the version."""
     return _change(keys, path, (), number, True)
 
 
-def _change(changes: DataFrame, path: str, order: Sequence[str], number: int | None, removal: bool) -> int:
+def _change(changes: DataFrame, path: str, order: Sequence[str], number: int | None, removal: bool, by: Mapping[str, str] | None = None) -> int:
     spark = changes.sparkSession
     buckets, keys, schema = _table(spark, path)
     number = version(spark, path) + 1 if number is None else number
@@ -111,7 +125,10 @@ def _change(changes: DataFrame, path: str, order: Sequence[str], number: int | N
     touched = {r.bucket for r in new.select("bucket").distinct().collect()}
     old = _rows(spark, path, schema, {b: n for b, n in holds.items() if b in touched})
     rest = [c for c in schema.fieldNames() if c not in keys]
-    if order:
+    if by is not None:
+        parts = [getattr(F, by[c])(c).alias(c) for c in rest]
+        merged = old.unionByName(new).groupBy("bucket", *keys).agg(*parts)
+    elif order:
         last = F.max_by(F.struct(*rest), F.struct(*order)).alias("_last")
         merged = old.unionByName(new).groupBy("bucket", *keys).agg(last).select("bucket", *keys, "_last.*")
     else:

@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lorespan.session import scratch_path
@@ -140,6 +141,11 @@ def _state_partitions(spark: SparkSession, number: int | None) -> Iterator[None]
         spark.conf.set(name, before)
 
 
+def drive(writer: DataStreamWriter, checkpoint: str) -> None:
+    """Run a stream over everything that has arrived."""
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_append(form: DataFrame, path: str, checkpoint: str, state_partitions: int | None = None) -> None:
     """Exactly-once append to Parquet of everything that has arrived."""
     with _state_partitions(form.sparkSession, state_partitions):
@@ -193,16 +199,10 @@ def run_upsert(
 
     rest = [c for c in form.columns if c not in keys]
     spark = form.sparkSession
-    if not _exists(spark, path):
+    if not buckettable.exists(spark, f"{path}/map"):
         buckettable.create(spark.createDataFrame([], form.schema), path, keys, buckets)
     with _state_partitions(spark, state_partitions):
-        q = form.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        q.awaitTermination()
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/map")
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+        drive(form.writeStream.foreachBatch(merge), checkpoint)
 
 
 def spans_or_timeout(starts: DataFrame, ends: DataFrame, longest: str = "1 hour", delay: str = "1 hour") -> DataFrame:
