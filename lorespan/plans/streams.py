@@ -200,7 +200,10 @@ def stream_rate_limited(spark: SparkSession, root: str) -> DataFrame:
 
 _MEASURED = """count(*) as n, count(value) as value_n, round(sum(value), 4) as value_sum, min(value) as value_min, max(value) as value_max,
     round(avg(value), 6) as value_avg from events group by all"""
-_ROUNDED = {"value_sum": F.round("value_sum", 4), "value_avg": F.round("value_avg", 6)}
+
+
+def _rounded(report: DataFrame) -> DataFrame:
+    return report.withColumn("value_sum", F.round("value_sum", 4)).withColumn("value_avg", F.round("value_avg", 6))
 
 
 @query(
@@ -221,7 +224,7 @@ def incremental_rollup(spark: SparkSession, root: str) -> DataFrame:
     for third in (1, 2, 3):
         there = events.where(F.col("arrived") < (1 << 40) // 3 * third + third // 3)
         rollups.increment(there, path, "arrived", ["event_type"], {"value": "value"}, "ts", buckets=8)
-    return rollups.report(spark, path).withColumns(_ROUNDED)
+    return _rounded(rollups.report(spark, path))
 
 
 @query(
@@ -237,7 +240,7 @@ def stream_rollup(spark: SparkSession, root: str) -> DataFrame:
     table(spark, root, "events").select("event_id", "ts", "event_type", "value").repartition(4, "event_id").write.parquet(parts)
     events = f.event_stream(spark, parts, spark.read.parquet(parts).schema, 1)
     rollups.run_rollup(events, path, scratch_path(spark, "checkpoint"), ["event_type"], {"value": "value"}, unit="hour", buckets=8)
-    return rollups.report(spark, path, "month", ["event_type"]).withColumns(_ROUNDED)
+    return _rounded(rollups.report(spark, path, "month", ["event_type"]))
 
 
 def _stored_events(spark: SparkSession, root: str, path: str) -> DataFrame:
