@@ -19,3 +19,25 @@ def test_more_vectors_than_can_be_broadcast(spark, root, monkeypatch, name):
     monkeypatch.setattr(r, "BROADCAST_ROWS", 10)
     text = ENTRIES[name].run(spark, root)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in text and "MapInArrow" not in text.replace("CoGroupsInArrow", "")
+
+
+def test_memories_have_no_limit_on_the_query_side(spark, root, monkeypatch):
+    monkeypatch.setattr(r, "BROADCAST_ROWS", 2)
+    assert ENTRIES["search_memory"].run(spark, root).count() > 0
+
+
+def test_links_of_copies_and_of_vectors_that_cannot_be_compared(spark):
+    v = [[1.0, 0.0], [1.0, 0.0], [1.0, 0.1], [0.0, 0.0], [0.0, 0.0], [-1.0, 0.0], None, [1.0, None]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    for rows in (None, 1, 2):
+        got = {x["vec_id"]: (x["class_id"], x["n_links"]) for x in r.similarity_links(df, 0.9, block_rows=rows).collect()}
+        assert got == {0: (0, 2), 1: (0, 2), 2: (2, 2), 3: (3, 0), 4: (3, 0), 5: (5, 0), 6: (6, 0), 7: (7, 0)}, rows
+
+
+def test_distances_of_copies_are_exact(spark):
+    v = [0.1 * i + 1 / 3 for i in range(64)]
+    df = spark.createDataFrame([(0, v), (1, v), (2, [x + 1e-7 for x in v])], "vec_id long, embedding array<double>")
+    for metric, apart in (("l2", 8e-7), ("l1", 64e-7)):
+        hits = r.search(df.withColumnRenamed("vec_id", "query_id"), df, 3, metric=metric, plan="blocks").where("query_id = 0")
+        got = {x["vec_id"]: x["score"] for x in hits.collect()}
+        assert got[0] == got[1] == 1.0 and abs(got[2] - 1 / (1 + apart)) <= 1e-9
