@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+from html.entities import html5
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lorespan.functions import text as t
@@ -249,16 +252,37 @@ def file_facts(spark: SparkSession, root: str) -> DataFrame:
     return fi.file_facts(spark, root, recursive=True).drop("path", "modified_at")
 
 
-_HIDDEN = "(?is)<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>|<!--.*?-->"
+_HIDDEN = "(?is)" + "|".join(f"<{x}\\b[^>]*>.*?</{x}\\s*>" for x in ("script", "style", "noscript", "template")) + "|<!--.*?-->"
+
+
+def _entities_sql() -> str:
+    """``ent``: one row of maps that hold the character references of HTML, as ``html.unescape`` has them."""
+    literal = lambda d: "map([" + ", ".join(map(q.quoted, d)) + "], [" + ", ".join(map(q.quoted, d.values())) + "])"
+    # Without a semicolon the longest name that leads the reference counts.
+    bare = [n for n in html5 if not n.endswith(";")]
+    old = {str(k): x for k, x in html._invalid_charrefs.items() if k}
+    gone = ", ".join(str(k) for k in sorted(html._invalid_codepoints))
+    return f"""ent as (select {literal({k: x for k, x in html5.items()})} as named,
+    [{", ".join(q.quoted(n) for n in sorted(bare, key=len, reverse=True))}] as bare, {literal(old)} as old, [{gone}]::bigint[] as gone)"""
+
+
+_CODE = "case when p[3:3] in ('x', 'X') then try_cast('0x' || rtrim(p[4:], ';') as bigint) else try_cast(rtrim(p[3:], ';') as bigint) end"
+# Numbers too large for a bigint are too large for a character.
+_NUMERIC = f"""list_transform([coalesce({_CODE}, 1114112)], lambda k: case when old[k::varchar] is not null then old[k::varchar]
+    when k = 0 or k between 55296 and 57343 or k > 1114111 then chr(65533) when list_contains(gone, k) then '' else chr(k::int) end)[1]"""
+_NAMED = "coalesce(named[p[2:]], list_transform(list_filter(bare, lambda n: starts_with(p[2:], n))[1:1], lambda n: named[n] || p[len(n) + 2:])[1], p)"
 
 
 @query(
     "html_text",
     5,
     56,
-    sql=f"""select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html,
-    '{_HIDDEN}', ' ', 'g'), '<[^>]+>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&amp;',
-    '&'), '\\s+', ' ', 'g')) as visible from pages""",
+    sql=f"""with {_entities_sql()}, x as (select page_id, regexp_replace(regexp_replace(html, '{_HIDDEN}', ' ', 'g'), '<[^>]+>', ' ', 'g')
+    as x from pages), d as (select page_id, x, case when contains(x, '&') then list_transform(regexp_extract_all(x,
+    '&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\\t\\n\\f <&#;]{{1,32}};?|[^&]+|&'), lambda p: case when not starts_with(p, '&') or p = '&' then p
+    when starts_with(p, '&#') then {_NUMERIC} else {_NAMED} end) else [x] end as ps from x cross join ent)
+    select page_id, case when x is not null then trim(regexp_replace(array_to_string(ps, ''), '[\\t-\\r\\x{{85}}\\pZ]+', ' ', 'g'),
+    ' ' || chr(28) || chr(29) || chr(30) || chr(31)) end as visible from d""",
 )
 def html_text(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "pages").select("page_id", fi.html_text(F.col("html")).alias("visible"))
