@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lorespan.functions import text as t
+from lorespan.operators.benchmark import _mean as exact_mean
 from lorespan.operators.skew import exact_quantiles, join_on
 
 # The stages, the latency flags and the grade bounds.
@@ -97,11 +98,11 @@ def statistics(results: DataFrame, by: Sequence[str] = (), keys: Sequence[str] =
     """Mean, extremes and rates of evaluated requests; with ``keys``, those of the fastest and the slowest one."""
     return results.groupBy(*by).agg(
         F.count(F.lit(1)).alias("evaluations"),
-        F.round(F.avg("total_latency"), 3).alias("average_latency"),
+        exact_mean("total_latency", 3).alias("average_latency"),
         F.min("total_latency").alias("minimum_latency"),
         F.max("total_latency").alias("maximum_latency"),
-        F.round(F.avg("queries_per_second"), 2).alias("average_qps"),
-        F.round(F.avg("tokens_per_second"), 2).alias("average_tokens_per_second"),
+        exact_mean("queries_per_second", 2).alias("average_qps"),
+        exact_mean("tokens_per_second", 2).alias("average_tokens_per_second"),
         F.count_if("high_latency").alias("high"),
         F.count_if("warning_latency").alias("warning"),
         *(_extremes(F.col("total_latency"), keys) if keys else []),
