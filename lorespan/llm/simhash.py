@@ -6,10 +6,10 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespan.llm.common import arrow_step, components, stored
+from lorespan.llm.common import Scratch, arrow_step, components, keyed, stored
 
 SHINGLE = 4
 SEED = 42
@@ -162,6 +162,39 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", max
     return rows.join(label, "fp", "left").select(id, hexed, "component_id")
 
 
+def first_of_each_group(docs: DataFrame, max_bits: int = MAX_BITS, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near copies: the one with the smallest id, a row without an id last.
+
+    Rows are near copies if their fingerprints differ in at most ``max_bits`` bits, or are connected by such rows. The
+    decision falls on rows: ids may repeat or be missing, and of repeated rows (equal id and text) one stays. Columns
+    may have any name. An empty table gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession)
+    table, own_id, own_text = keyed(docs, id, text)
+    kind = docs.schema[id].dataType.simpleString()
+    rows = table.select(F.col(own_id).alias("id"), "k", "l", F.col(own_text).cast("binary").alias("t"))
+
+    def step(batch, texts: list) -> list:
+        return [*(batch.column(c) for c in ("id", "k", "l")), fingerprints_of(texts)]
+
+    try:
+        prints = scratch.stored(arrow_step(rows, "t", f"id {kind}, k long, l long, fp bigint", step), "fingerprints")
+        place = F.struct(F.col("id").isNull().alias("none"), "id", "k", "l")
+        classes = scratch.stored(prints.groupBy("fp").agg(F.min(place).alias("first")), "classes")
+        near = components(linked_pairs(classes.select("fp"), max_bits), scratch=scratch)
+        label = classes.join(near, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("part"))
+        label = scratch.stored(label, "labels")
+        keep = label.groupBy("part").agg(F.min("first").alias("keep"))
+        keep = label.select("fp", "part").join(keep, "part").select("fp", F.col("keep.k").alias("k2"), F.col("keep.l").alias("l2"))
+        gone = prints.join(keep, "fp").where("k <> k2 or l <> l2").select("k", "l").distinct()
+        gone = scratch.stored(gone, "gone", last=True)
+    finally:
+        scratch.sweep(True)
+    order = F.xxhash64(*[F.col(f"c{i}") for i in range(len(docs.columns))])
+    kept = table.join(gone, ["k", "l"], "left_anti").withColumn("again", F.row_number().over(Window.partitionBy("k", "l").orderBy(order)))
+    return kept.where("again = 1").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def op7_simhash_near_dedup(spark, root: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return near_duplicates(spark.read.parquet(f"{root}/documents.parquet"))
