@@ -8,17 +8,28 @@ from __future__ import annotations
 import html
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 NON_ASCII = "[^\\x00-\\x7f]"
 
 
+# Texts of a batch that are Python strings at a time; the rest of it stays in Arrow.
+HELD = 128
+
+
 def _per_value(function):
-    @F.pandas_udf(StringType())
-    def batch(values: pd.Series) -> pd.Series:
-        return values.map(function, na_action="ignore")
+    @F.arrow_udf(StringType())
+    def batch(values: pa.Array) -> pa.Array:
+        parts = [pa.array([], pa.string())]
+        for at in range(0, len(values), HELD):
+            some = values.slice(at, HELD)
+            if some.null_count == len(some):
+                parts.append(pa.nulls(len(some), pa.string()))
+            else:
+                parts.append(pa.array([None if x is None else function(x) for x in some.to_pylist()], pa.string()))
+        return pa.concat_arrays(parts)
 
     return batch
 
