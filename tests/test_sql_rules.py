@@ -55,7 +55,7 @@ def test_character_references_of_pages(spark, root, tmp_path):
 
 @pytest.mark.parametrize(
     "names",
-    [("search_text", "retrieve", "prompt_contexts", "context_sources", "export_search_results"), ("document_relevance", "compare_retrievers", "relevance_statistics")],
+    [("search_text", "retrieve", "prompt_contexts", "context_sources", "export_search_results"), ("document_relevance", "compare_retrievers", "relevance_statistics"), ("relevance_evaluation", "relevance_distribution", "relevance_query_summary")],
 )
 def test_texts_without_a_word_score_nothing(spark, root, tmp_path, names):
     docs = spark.read.parquet(f"{root}/documents.parquet").where("doc_id < 20")
