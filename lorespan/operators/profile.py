@@ -12,6 +12,7 @@ from pyspark.sql.types import BooleanType, NumericType, StringType, DateType, Ti
 from lorespan.operators.concordance import kendall
 from lorespan.operators.dedup import duplicate_rows
 from lorespan.operators.skew import VALUE_BUCKET, exact_quantiles, join_on, prefix_sums, side_by_side, with_value_bucket
+from lorespan.session import scratch_path
 
 
 def kinds(df: DataFrame) -> dict[str, str]:
@@ -164,8 +165,25 @@ def _mean_ranks(values: DataFrame, series: Sequence[str]) -> DataFrame:
     return ranked.select(*series, "_v", mean.alias("_rank"))
 
 
+def _ranked_columns(rows: DataFrame, long: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``rows`` with every column's values replaced by their mean ranks.
+
+    Ranks are stored by column, so each is joined to whole rows by itself and a column of few values is broadcast; the result
+    is stored too, as it is read twice.
+    """
+    spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "ranks")
+    _mean_ranks(long, ["_side"]).write.partitionBy("_side").parquet(path)
+    ranks = spark.read.parquet(path)
+    for i, c in enumerate(columns):
+        own = ranks.where(F.col("_side") == i).select(F.col("_v").alias(c), F.col("_rank").alias(f"_{i}"))
+        rows = rows.join(own, c).drop(c)
+    path = scratch_path(spark, "ranked")
+    rows.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(columns)]).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _rank_correlation(values: DataFrame, columns: Sequence[str], pairwise: bool) -> DataFrame:
-    """Pearson of mean ranks. Whatever the number of columns, ranks are made in one pass and joined back in another.
+    """Pearson of mean ranks, which are made in one pass whatever the number of columns.
 
     Values are taken as (series, row, value): a series is a column, or a side of a pair of columns. The adaptive skew
     join splits a frequent value.
@@ -186,11 +204,10 @@ def _rank_correlation(values: DataFrame, columns: Sequence[str], pairwise: bool)
         sides = [F.struct(F.lit(i).alias("_side"), F.col(c).alias("_v")) for i, c in enumerate(columns)]
         series = ["_side"]
     long = rows.select("_row", F.explode(F.array_compact(F.array(*sides))).alias("_x")).select("_row", "_x.*")
+    if not pairwise:
+        return _correlations(_ranked_columns(rows.drop("_row"), long, columns), columns)
     ranked = long.join(_mean_ranks(long, series), [*series, "_v"])
     side = lambda i: F.max(F.when(F.col("_side") == i, F.col("_rank"))).alias(f"{i}")
-    if not pairwise:
-        wide = ranked.groupBy("_row").agg(*[side(i) for i in range(len(columns))])
-        return _correlations(wide.select(*[F.col(f"{i}").alias(c) for i, c in enumerate(columns)]), columns)
     both = ranked.groupBy("_row", "_pair").agg(side(0), side(1))
     found = both.groupBy("_pair").agg(F.round(F.corr("0", "1"), 6).alias("correlation"))
     names = values.sparkSession.createDataFrame(

@@ -119,3 +119,13 @@ def test_health_and_logs(spark):
     logs = spark.createDataFrame([('{"message": "m", "operation": "o", "latency_ms": 2.0}',), ("{broken",)], "value string")
     parsed = ms.parse_logs(logs).collect()
     assert parsed[0]["latency_ms"] == 2.0 and parsed[1]["_corrupt_record"] == "{broken"
+
+
+def test_rank_correlation_reads_stored_ranks(spark, monkeypatch):
+    """Both passes over the ranks read them; neither joins the values with their ranks again."""
+    plans, real = [], pr._correlations
+    monkeypatch.setattr(pr, "_correlations", lambda df, columns: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, columns))[1])
+    df = spark.createDataFrame([(1.0, 3.0, 5.0), (2.0, 3.0, -0.0), (2.0, 1.0, 0.0), (4.0, 0.0, 7.0), (None, 9.0, 1.0), (float("nan"), 2.0, 2.0)], "a double, b double, c double")
+    got = {(r["left"], r["right"]): r["correlation"] for r in pr.correlation(df, "spearman", pairwise=False).collect()}
+    assert got == {("a", "b"): pytest.approx(-0.833333), ("a", "c"): pytest.approx(0.333333), ("b", "c"): pytest.approx(-0.5)}
+    assert len(plans) == 1 and "Join" not in plans[0] and "Exchange" not in plans[0]
