@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespan.llm.common import arrow_step, slices
+from lorespan.llm.common import arrow_step, remembers, slices
 
 DIMENSIONS = 4096
 SEED = 7
@@ -102,9 +102,13 @@ class _Space:
         return out
 
 
-@functools.cache
+_spaces = functools.cache(_Space)
+
+
 def _space(dimensions: int, seed: int) -> _Space:
-    return _Space(dimensions, seed)
+    """One space per worker process, as long as it serves this kind of step."""
+    remembers("letters", _spaces.cache_clear)
+    return _spaces(dimensions, seed)
 
 
 def profiles(

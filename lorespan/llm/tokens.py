@@ -13,6 +13,8 @@ import re
 from array import array
 from collections.abc import Callable
 
+from lorespan.llm.common import remembers
+
 #: Pieces that a worker remembers before it forgets all, and the longest piece that it remembers.
 REMEMBER = 1_000_000
 LONGEST = 40
@@ -127,7 +129,10 @@ class Encoder:
         return self.known[head] + b"".join([self.known[" " + r] for r in rest])
 
 
-@functools.cache
+_encoders = functools.cache(Encoder)
+
+
 def encoder(name: str) -> Encoder:
-    """One encoder per worker process and vocabulary file."""
-    return Encoder(name)
+    """One encoder per worker process and vocabulary file, as long as it serves this kind of step."""
+    remembers("tokens", _encoders.cache_clear)
+    return _encoders(name)

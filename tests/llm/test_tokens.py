@@ -104,3 +104,16 @@ def test_arrow_values_of_wide_texts():
     from lorespan.llm.common import slices
 
     assert [len(v) for _, v in slices(iter([batch]), "t")] == [3, 1]
+
+
+def test_a_worker_keeps_the_memory_of_one_kind_of_step():
+    import weakref
+
+    from lorespan.llm import langid
+
+    old = weakref.ref(encoder("word_bpe_49k.json"))
+    assert encoder("word_bpe_49k.json") is old()
+    space = weakref.ref(langid._space(64, 1))
+    assert langid._space(64, 1) is space() and old() is None
+    encoder("word_bpe_49k.json")
+    assert space() is None
