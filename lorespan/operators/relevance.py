@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lorespan.functions import text as t
+from lorespan.operators.benchmark import _mean as exact_mean
 from lorespan.operators.rankeval import overlap_score
 from lorespan.operators.skew import first_rows, position
 
@@ -49,9 +50,9 @@ def split_relevant(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
 def evaluate(scored: DataFrame, keys: Sequence[str] = ("query_id",)) -> DataFrame:
     """Per query (and retriever): mean scores, documents, relevant documents."""
     return scored.groupBy(*keys).agg(
-        F.round(F.avg("relevance"), 4).alias("score"),
-        F.round(F.avg("keyword_score"), 4).alias("keyword_score"),
-        F.round(F.avg("semantic_score"), 4).alias("semantic_score"),
+        exact_mean("relevance", 4).alias("score"),
+        exact_mean("keyword_score", 4).alias("keyword_score"),
+        exact_mean("semantic_score", 4).alias("semantic_score"),
         F.count(F.lit(1)).alias("document_count"),
         F.count_if("relevant").alias("relevant_documents"),
     )
@@ -79,7 +80,7 @@ def statistics(results: DataFrame, by: Sequence[str] = (), key: str = "query_id"
     s = F.col("score")
     return results.groupBy(*by).agg(
         F.count(F.lit(1)).alias("evaluations"),
-        F.round(F.avg(s), 4).alias("average_score"),
+        exact_mean("score", 4).alias("average_score"),
         F.min(s).alias("minimum_score"),
         F.max(s).alias("maximum_score"),
         F.min(F.struct((-s).alias("s"), F.col(key).alias("k")))["k"].alias("best_query"),

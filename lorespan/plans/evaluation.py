@@ -255,10 +255,10 @@ _OV = f"""case when len(list_distinct({q.tokens("query_text")})) = 0 then 0 else
 _HITS = _RETRIEVE.replace("hits as (select * from z where n <= 5)", "hits as (select z.*, b.text as query_text from z "
     "join benchmark b on b.item_id = query_id where n <= 5)")
 _SCORED = f"""{_HITS}, a as (select query_id, vec_id, text, query_text, round({_OV}, 4) as keyword_score,
-    round(score, 4) as semantic_score from hits), scored as (select *, round(0.4::double * keyword_score
+    {q.rounded("score", 4)} as semantic_score from hits), scored as (select *, round(0.4::double * keyword_score
     + 0.6::double * semantic_score, 4) as relevance from a)"""
-_EVAL = """ev as (select query_id, round(avg(relevance), 4) as score, round(avg(keyword_score), 4) as keyword_score,
-    round(avg(semantic_score), 4) as semantic_score, count(*) as document_count,
+_EVAL = f"""ev as (select query_id, {q.exact_mean("relevance", 4)} as score, {q.exact_mean("keyword_score", 4)} as keyword_score,
+    {q.exact_mean("semantic_score", 4)} as semantic_score, count(*) as document_count,
     count(*) filter (where relevance >= 0.75) as relevant_documents from scored group by query_id)"""
 
 
@@ -311,7 +311,7 @@ def _two_systems(spark: SparkSession, root: str) -> DataFrame:
     select 'reranked', query_id, text, query_text from hits),
     w as (select system, query_id, round({_OV}, 4) as keyword_score from v),
     scored as (select *, round(0.4::double * keyword_score, 4) as relevance from w)
-    select system, query_id, round(avg(relevance), 4) as score, round(avg(keyword_score), 4) as keyword_score,
+    select system, query_id, {q.exact_mean("relevance", 4)} as score, {q.exact_mean("keyword_score", 4)} as keyword_score,
     0.0::double as semantic_score, count(*) as document_count,
     count(*) filter (where relevance >= 0.75) as relevant_documents from scored group by system, query_id""",
 )
@@ -332,7 +332,7 @@ def relevance_distribution(spark: SparkSession, root: str) -> DataFrame:
 @query(
     "relevance_statistics",
     206,
-    sql=f"""{_SCORED}, {_EVAL} select count(*) as evaluations, round(avg(score), 4) as average_score,
+    sql=f"""{_SCORED}, {_EVAL} select count(*) as evaluations, {q.exact_mean("score", 4)} as average_score,
     min(score) as minimum_score, max(score) as maximum_score, arg_min(query_id, (-score, query_id)) as best_query,
     arg_min(query_id, (score, query_id)) as worst_query from ev""",
 )

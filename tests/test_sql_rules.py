@@ -63,3 +63,11 @@ def test_texts_without_a_word_score_nothing(spark, root, tmp_path, names):
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     blank = blank.select(*[blank[c].cast(kinds[c]).alias(c) for c in docs.columns])
     _same(spark, _root(tmp_path, root, documents=docs.unionByName(blank)), *names)
+
+
+@pytest.mark.parametrize("n", [2, 4])
+def test_relevance_means_that_lie_half_way(spark, root, tmp_path, n):
+    """Two or four hits a query: many means lie half way between two values of four places."""
+    docs = spark.read.parquet(f"{root}/documents.parquet").where(f"doc_id < {n}")
+    docs = docs.selectExpr("doc_id", "array_join(slice(split(text, ' '), 1, 150), ' ') as text", "lang", "source", "n_chars")
+    _same(spark, _root(tmp_path, root, documents=docs), "relevance_evaluation", "relevance_query_summary", "compare_retrievers", "relevance_statistics")
