@@ -252,7 +252,12 @@ def _scored(spark: SparkSession, root: str) -> DataFrame:
 _OV = f"""case when len(list_distinct({q.tokens("query_text")})) = 0 then 0 else
     len(list_intersect(list_distinct({q.tokens("query_text")}), {q.tokens("text")}))
     / len(list_distinct({q.tokens("query_text")})) end"""
-_HITS = _RETRIEVE.replace("hits as (select * from z where n <= 5)", "hits as (select z.*, b.text as query_text from z "
+# White space is Unicode's, as in the query; RE2's is that of ASCII without the vertical tab.
+_SPACED = ", ".join(
+    rf"{t} as (select * replace (regexp_replace(text, '[\x0b\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]', ' ', 'g') as text) from {t})"
+    for t in ("documents", "benchmark")
+)
+_HITS = f"with {_SPACED}, {_RETRIEVE.removeprefix('with ')}".replace("hits as (select * from z where n <= 5)", "hits as (select z.*, b.text as query_text from z "
     "join benchmark b on b.item_id = query_id where n <= 5)")
 _SCORED = f"""{_HITS}, a as (select query_id, vec_id, text, query_text, round({_OV}, 4) as keyword_score,
     {q.rounded("score", 4)} as semantic_score from hits), scored as (select *, round(0.4::double * keyword_score

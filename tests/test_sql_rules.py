@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from lorespan.plans import load
 from tests.compare import TABLES, compare, duck
@@ -71,3 +72,11 @@ def test_relevance_means_that_lie_half_way(spark, root, tmp_path, n):
     docs = spark.read.parquet(f"{root}/documents.parquet").where(f"doc_id < {n}")
     docs = docs.selectExpr("doc_id", "array_join(slice(split(text, ' '), 1, 150), ' ') as text", "lang", "source", "n_chars")
     _same(spark, _root(tmp_path, root, documents=docs), "relevance_evaluation", "relevance_query_summary", "compare_retrievers", "relevance_statistics")
+
+
+def test_relevance_of_texts_with_wide_white_space(spark, root, tmp_path):
+    docs = spark.read.parquet(f"{root}/documents.parquet").where("doc_id < 12")
+    spaces = "\x0b\x85\xa0\u1680\u2003\u2028\u2029\u202f\u205f\u3000"
+    wide = "array_join(transform(split(text, ' '), (w, i) -> concat(w, substr(s, cast(i % 10 + 1 as int), 1))), '')"
+    docs = docs.withColumn("s", F.lit(spaces)).selectExpr("doc_id", f"{wide} as text", "lang", "source", "n_chars")
+    _same(spark, _root(tmp_path, root, documents=docs), "relevance_evaluation", "relevance_query_summary", "document_relevance")
