@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +74,42 @@ def test_limits(spark, batches):
     mine = {r.event_id: r.allowed for r in got}
     assert mine.pop(9999) and mine == want and 0 < sum(want.values()) < len(want)
     assert state == {99}
+
+
+class Store:
+    """A user's state and timers, with the questions that were asked."""
+
+    def __init__(self):
+        self.kept, self.timers, self.asked = [], [], []
+
+    def __getattr__(self, name):
+        def ask(*args):
+            self.asked.append(name)
+            if name == "put":
+                self.kept = list(args[0])
+            elif name == "clear":
+                self.kept = []
+            elif name == "registerTimer":
+                self.timers.append(args[0])
+            elif name == "deleteTimer":
+                self.timers.remove(args[0])
+            return {"getListState": self, "exists": bool(self.kept), "get": iter(self.kept), "listTimers": iter(self.timers)}.get(name)
+
+        return ask
+
+
+def test_idle_sessions_ask_the_store_little():
+    store, idle = Store(), keyed._Idle(10_000)
+    idle.init(store)
+    came = lambda *t: list(idle.handleInputRows((7,), iter([pd.DataFrame({"ts": t})]), None))
+    came(*range(0, 800_000, 20_000))
+    assert store.asked == ["getListState", "exists", "put", "registerTimer"] and len(store.kept) == 1 and store.timers == [10]
+    came(785_000, 5_000)  # the first session is open longer, so its timer moves
+    assert store.asked[4:] == ["exists", "get", "deleteTimer", "put", "registerTimer"] and store.timers == [15]
+    came(900_000)  # the timer stays
+    assert store.asked[9:] == ["exists", "get", "put"] and store.timers == [15]
+    watermark = type("Values", (), {"getCurrentWatermarkInMs": lambda self: 800})()
+    (out,) = idle.handleExpiredTimer((7,), watermark, None)
+    want = [(7, 0, 5_000, 2, 15_000)] + [(7, t, t, 1, t + 10_000) for t in range(20_000, 780_000, 20_000)] + [(7, 780_000, 785_000, 2, 795_000)]
+    assert list(out.itertuples(index=False, name=None)) == want
+    assert "listTimers" not in store.asked and idle._held() == [(900_000, 900_000, 1)] and store.timers == [15, 910]
