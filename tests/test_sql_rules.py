@@ -80,3 +80,18 @@ def test_relevance_of_texts_with_wide_white_space(spark, root, tmp_path):
     wide = "array_join(transform(split(text, ' '), (w, i) -> concat(w, substr(s, cast(i % 10 + 1 as int), 1))), '')"
     docs = docs.withColumn("s", F.lit(spaces)).selectExpr("doc_id", f"{wide} as text", "lang", "source", "n_chars")
     _same(spark, _root(tmp_path, root, documents=docs), "relevance_evaluation", "relevance_query_summary", "document_relevance")
+
+
+def test_unit_vectors_of_odd_rows_and_the_sign_of_zero(spark, root, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    rows = [
+        (0, [-1e-8, 1.0, -0.0], 3), (1, [0.0, 0.0], 3), (2, [1.0, 2.0], None), (3, [1.0, 2.0], -1), (4, [1.0, None, 2.0], 7),
+        (5, [nan, 1.0], 0), (6, [nan, 1.0], 2), (7, None, 2), (8, None, 0), (9, [], 2), (10, [None, -1.0], 0), (11, [inf, -1.0], 5),
+        (12, [0.1234565, -0.2469135, (1 - 0.1234565**2 - 0.2469135**2) ** 0.5], 1), (13, [None, None], 4),
+    ]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    at = _root(tmp_path, root, embeddings=e)
+    shown = lambda unit: None if unit is None else [repr(x) for x in unit]
+    got = {x["vec_id"]: shown(x["unit"]) for x in ENTRIES["normalize_vectors"].run(spark, at).collect()}
+    assert got == {i: shown(unit) for i, unit in duck(at).execute(ENTRIES["normalize_vectors"].sql).fetchall()}
+    assert got[0][0] == "-0.0" and got[1] == ["None", "None"] and got[5] == ["0.0", "0.0"] and not {2, 3} & set(got)
