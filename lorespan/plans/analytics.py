@@ -19,6 +19,7 @@ from lorespan.operators import (
 )
 from lorespan.plans import sqltext as q
 from lorespan.plans.registry import query
+from lorespan.plans.retrieval import six_places
 from lorespan.session import scratch_path
 from lorespan.sources.tables import table
 
@@ -184,20 +185,20 @@ def list_memories(spark: SparkSession, root: str) -> DataFrame:
     254,
     sql="""with e as (select vec_id, label, embedding::double[] as v from embeddings),
     s as (select a.vec_id as query_id, b.vec_id as memory_id, round(list_cosine_similarity(a.v, b.v), 9) as score
-    from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0), k as (select *, row_number() over (partition by query_id
+    from e a join e b on a.vec_id <> b.vec_id), k as (select *, row_number() over (partition by query_id
     order by score desc, memory_id) as rank from s)
     select query_id, memory_id, rank, round(score, 6) as score from k where rank <= 5""",
 )
 def search_memory(spark: SparkSession, root: str) -> DataFrame:
     e = table(spark, root, "embeddings")
     hits = conv.search_memory(
-        e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding"),
+        e.select(F.col("vec_id").alias("query_id"), "embedding"),
         e.select(F.col("vec_id").alias("memory_id"), "embedding"),
         5,
         exclude_self=True,
         plan="blocks",
     )
-    return hits.withColumn("score", F.round("score", 6))
+    return hits.withColumn("score", six_places("score"))
 
 
 @query(

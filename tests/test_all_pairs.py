@@ -41,3 +41,14 @@ def test_distances_of_copies_are_exact(spark):
         hits = r.search(df.withColumnRenamed("vec_id", "query_id"), df, 3, metric=metric, plan="blocks").where("query_id = 0")
         got = {x["vec_id"]: x["score"] for x in hits.collect()}
         assert got[0] == got[1] == 1.0 and abs(got[2] - 1 / (1 + apart)) <= 1e-9
+
+
+EVERY_VECTOR_ASKS = [
+    "search_memory",
+]
+
+
+@pytest.mark.parametrize("name", EVERY_VECTOR_ASKS)
+def test_every_vector_asks(spark, root, name):
+    vectors = {x["vec_id"] for x in spark.read.parquet(f"{root}/embeddings.parquet").select("vec_id").collect()}
+    assert {x["query_id"] for x in ENTRIES[name].run(spark, root).select("query_id").collect()} == vectors
