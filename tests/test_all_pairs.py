@@ -52,3 +52,8 @@ EVERY_VECTOR_ASKS = [
 def test_every_vector_asks(spark, root, name):
     vectors = {x["vec_id"] for x in spark.read.parquet(f"{root}/embeddings.parquet").select("vec_id").collect()}
     assert {x["query_id"] for x in ENTRIES[name].run(spark, root).select("query_id").collect()} == vectors
+
+
+@pytest.mark.parametrize("name", ["search_threshold"])
+def test_vectors_with_near_ones_ask(spark, root, name):
+    assert any(x["query_id"] % 50 for x in ENTRIES[name].run(spark, root).select("query_id").collect())
