@@ -57,3 +57,8 @@ def test_every_vector_asks(spark, root, name):
 @pytest.mark.parametrize("name", ["search_threshold"])
 def test_vectors_with_near_ones_ask(spark, root, name):
     assert any(x["query_id"] % 50 for x in ENTRIES[name].run(spark, root).select("query_id").collect())
+
+
+@pytest.mark.parametrize("name", ["search_lsh_recall"])
+def test_every_vector_counts_as_query(spark, root, name):
+    assert ENTRIES[name].run(spark, root).first()["queries"] == spark.read.parquet(f"{root}/embeddings.parquet").count()
