@@ -54,7 +54,7 @@ def test_every_vector_asks(spark, root, name):
     assert {x["query_id"] for x in ENTRIES[name].run(spark, root).select("query_id").collect()} == vectors
 
 
-@pytest.mark.parametrize("name", ["search_threshold"])
+@pytest.mark.parametrize("name", ["search_threshold", "search_range"])
 def test_vectors_with_near_ones_ask(spark, root, name):
     assert any(x["query_id"] % 50 for x in ENTRIES[name].run(spark, root).select("query_id").collect())
 
