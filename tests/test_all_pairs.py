@@ -62,3 +62,9 @@ def test_vectors_with_near_ones_ask(spark, root, name):
 @pytest.mark.parametrize("name", ["search_lsh_recall"])
 def test_every_vector_counts_as_query(spark, root, name):
     assert ENTRIES[name].run(spark, root).first()["queries"] == spark.read.parquet(f"{root}/embeddings.parquet").count()
+
+
+def test_pairs_are_emitted(spark, root):
+    pairs = ENTRIES["similarity_pairs"].run(spark, root)
+    links = r.similarity_links(spark.read.parquet(f"{root}/embeddings.parquet"), 0.25).agg({"n_links": "sum"}).first()[0]
+    assert pairs.columns == ["left", "right", "score"] and pairs.where("left < right").count() == links / 2 > 0
