@@ -45,7 +45,7 @@ def test_distances_of_copies_are_exact(spark):
 
 EVERY_VECTOR_ASKS = [
     "search_memory", "search_cosine", "search_inner_product", "search_l2", "search_l1", "search_blocks", "search_with_filter",
-    "precision_at_5", "format_results",
+    "precision_at_5", "format_results", "mmr_relevance_only",
 ]
 
 
