@@ -45,7 +45,7 @@ def test_distances_of_copies_are_exact(spark):
 
 EVERY_VECTOR_ASKS = [
     "search_memory", "search_cosine", "search_inner_product", "search_l2", "search_l1", "search_blocks", "search_with_filter",
-    "precision_at_5", "format_results", "mmr_relevance_only",
+    "precision_at_5", "format_results", "mmr_relevance_only", "ranking_metrics",
 ]
 
 
@@ -60,7 +60,7 @@ def test_vectors_with_near_ones_ask(spark, root, name):
     assert any(x["query_id"] % 50 for x in ENTRIES[name].run(spark, root).select("query_id").collect())
 
 
-@pytest.mark.parametrize("name", ["search_lsh_recall"])
+@pytest.mark.parametrize("name", ["search_lsh_recall", "mean_ranking_metrics"])
 def test_every_vector_counts_as_query(spark, root, name):
     assert ENTRIES[name].run(spark, root).first()["queries"] == spark.read.parquet(f"{root}/embeddings.parquet").count()
 
